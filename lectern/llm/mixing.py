@@ -105,8 +105,8 @@ def mix(
     return rows.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", (takes * F.col("size")).cast("long").alias("taken"), F.when(takes > 0, F.floor(at * 1e6)).cast("long").alias("position"))
 
 
-def by_position(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The documents taken, range-sorted by training position."""
-    by = [F.col("position")]
+def by_position(mixed: DataFrame, key: str = "doc_id", partitions: int | None = None) -> DataFrame:
+    """Range-sorted by training position, then by a hash of the key: the documents that aren't taken have no position, and are many."""
+    by = [F.col("position"), F.xxhash64(F.col(f"`{key}`"))]
     ranged = mixed.repartitionByRange(partitions, *by) if partitions else mixed.repartitionByRange(*by)
     return ranged.sortWithinPartitions(*by)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, knn, mixing, warc
+from . import decontam, knn, langid, mixing, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,18 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs), keep=["doc_id"])
+    return found.select("doc_id", quality.held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -66,6 +78,10 @@ FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
 """
 
 
+def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.by_position(mixing.mix(docs, keep=["doc_id"]))
@@ -90,7 +106,10 @@ FROM k
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_top_k": op3_top_k,
+    "op4_quality": op4_quality,
+    "op6_language": op6_language,
     "op7_decontaminate": op7_decontaminate,
+    "op8_shard": op8_shard,
     "op10_mix": op10_mix,
 }
 ORACLES = {"op1_warc": OP1_SQL, "op3_top_k": OP3_SQL, "op7_decontaminate": OP7_SQL, "op10_mix": OP10_SQL}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that part words: everything in ASCII but digits and letters. Bytes from 0x80 on belong to words.
-_WORD_TABLE = bytes(
+WORD_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 #: The same rule on decoded text, for offsets into the original.
@@ -20,7 +20,7 @@ WORD_PATTERN = "[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 
 def words_of(text: str | None) -> list[bytes]:
     """Words with A-Z lower-cased, as UTF-8 bytes; none for null."""
-    return text.encode("utf-8", "replace").translate(_WORD_TABLE).split() if text else []
+    return text.encode("utf-8", "replace").translate(WORD_TABLE).split() if text else []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,31 +75,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
-
-
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered up to a bound."""
-
-    def __init__(self, bound: int = 400_000):
-        super().__init__()
-        self.bound = bound
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.bound:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def shingle_hashes(words: list[bytes], hashes: WordHashes, k: int = 5) -> np.ndarray:
-    """A hash for each run of k words, in order; a text of fewer words is one shingle."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - k + 1)
-    out = np.full(n, len(h) if len(h) < k else k, np.uint64)
-    for i in range(min(k, len(h))):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    return mix64(out)

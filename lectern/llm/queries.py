@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, knn, langid, mixing, quality, sharding, warc
+from . import decontam, html, knn, langid, licenses, mixing, neardup, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> head THEN 'r
 """
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", F.concat_ws(",", "licenses").alias("licenses"), F.size("matches").cast("long").alias("n_matches"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("containment"))
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return knn.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -48,6 +53,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep=["doc_id"]).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs), keep=["doc_id"])
@@ -82,6 +91,10 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.by_position(mixing.mix(docs, keep=["doc_id"]))
@@ -105,11 +118,14 @@ FROM k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_licenses": op2_licenses,
     "op3_top_k": op3_top_k,
     "op4_quality": op4_quality,
+    "op5_main_text": op5_main_text,
     "op6_language": op6_language,
     "op7_decontaminate": op7_decontaminate,
     "op8_shard": op8_shard,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_mix": op10_mix,
 }
 ORACLES = {"op1_warc": OP1_SQL, "op3_top_k": OP3_SQL, "op7_decontaminate": OP7_SQL, "op10_mix": OP10_SQL}

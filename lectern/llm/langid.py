@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quality import features, held_out
+from .quality import features, gathered, held_out
 from .tokens import ids_of, shares
 
 BITS = 15
@@ -88,7 +88,7 @@ def decode(z: np.ndarray, code: np.ndarray, trust: np.ndarray) -> tuple[np.ndarr
     return best, score, two[:, 1] - two[:, 0] < 0.1
 
 
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 500, at_most: int = 4000):
+def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 500, at_most: int = 3000):
     """A model from texts with a non-null lang that aren't held out: a bounded sample by hash of the id, of about per_language rows for each language and at_most in all."""
     own = docs.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("y")).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     counts = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -98,10 +98,10 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     each = min(per_language, max(1, at_most // len(langs)))
     share = F.element_at(F.create_map(*[x for y in langs for x in (F.lit(y), F.lit(min(1.0, each / counts[y])))]), F.col("y"))
     picked = own.where(F.pmod(F.xxhash64("k", F.lit(3)), F.lit(1 << 30)) / float(1 << 30) < share)
-    rows = sorted(features(picked, ids_shares).collect(), key=lambda r: (r.k, r.y, len(r.ids)))
+    rows = gathered(features(picked, ids_shares))
     place = {y: i for i, y in enumerate(langs)}
     code = codewords(len(langs))
-    return langs, code, train([(np.array(r.ids, np.int32), np.array(r.weights, np.float32), place[r.y]) for r in rows], code)
+    return langs, code, train([(ids, weights, place[y]) for ids, weights, y in rows], code)
 
 
 def identify(docs: DataFrame, model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:

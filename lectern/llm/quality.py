@@ -41,6 +41,17 @@ def features(docs: DataFrame, make, label: str = "y") -> DataFrame:
     return docs.select("k", "text", label).mapInArrow(run, T.StructType([T.StructField("k", T.StringType()), T.StructField(label, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.FloatType()))]))
 
 
+def gathered(made: DataFrame, label: str = "y") -> list[tuple[np.ndarray, np.ndarray, object]]:
+    """The bounded sample (ids, weights, label) on the driver, in the order of its keys; arrays are views of Arrow's."""
+    t = made.toArrow()
+    t = t.sort_by([("k", "ascending")])
+    ids, weights, y = (t[c].combine_chunks() for c in ("ids", "weights", label))
+    if not len(y):
+        return []
+    at, i, w = ids.offsets.to_numpy(), ids.values.to_numpy(), weights.values.to_numpy()
+    return [(i[at[n] : at[n + 1]], w[at[n] : at[n + 1]], v) for n, v in enumerate(y.to_pylist())]
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], *, dim: int = 16, epochs: int = 6, rate: float = 0.8, seed: int = 7) -> tuple[np.ndarray, float, float]:
     """(value of each bucket, bias, score of an unknown text) by stochastic gradient descent on (ids, weights, label).
 
@@ -69,7 +80,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], *, dim: int = 16, epoc
     return (e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 4096):
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 3000):
     """A model from labelled rows that aren't held out: at most max_rows, those with the smallest hashes of their ids.
 
     Repeated labels of an id are averaged and rounded; null labels and ids teach nothing; without any labels every score is 0.5.
@@ -79,11 +90,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     own = docs.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{text}`").alias("text"))
     # max_rows bounds the broadcast side.
     picked = own.join(F.broadcast(marks), "k").groupBy("k").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    rows = features(picked, ids_shares).collect()
-    rows = sorted(rows, key=lambda r: r.k)
-    if not rows:
-        return np.zeros(1 << BITS, np.float32), 0.0
-    return train([(np.array(r.ids, np.int32), np.array(r.weights, np.float32), r.y) for r in rows])
+    rows = gathered(features(picked, ids_shares))
+    return train(rows) if rows else (np.zeros(1 << BITS, np.float32), 0.0)
 
 
 def score(docs: DataFrame, model, *, text: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:

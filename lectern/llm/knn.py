@@ -166,7 +166,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector
     tops = F.coalesce(*[F.when(F.size("v") == d, F.lit(p.top)) for d, p in pivots.items()], F.lit(0.0))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     kth = F.when(F.size("found") >= need, F.element_at("found", need)["score"])
-    bounded = known.withColumn("bound", F.coalesce(F.sqrt(F.greatest(F.lit(0.0), norm + tops - 2 * kth)), F.lit(float("inf")))).select("rep", "v", "bound")
+    bounded = known.withColumn("bound", F.when(kth.isNull(), F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(F.lit(0.0), norm + tops - 2 * kth)))).select("rep", "v", "bound")
     rest = visit(bounded.mapInPandas(route(False), routed))
     final = _best(home.unionByName(rest), need)
     # All ids that ask for a vector, joined to its result by shuffles of their own: one vector may be asked for by a third of them.

@@ -35,9 +35,9 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0,
         "total": share * F.sum("source_size").over(every),
     })
     s = s.withColumn("level", (F.col("total") - F.col("below")) / F.col("rest"))
-    # A source is full if the level of those from it on reaches its cap; the first that isn't full sets the level of the rest.
+    # A source is full if the level of those from it on reaches its cap; the first that isn't full, which has the highest level of such, sets that of the rest.
     s = s.withColumn("full", F.col("level") * F.col("w") >= F.col("top"))
-    s = s.withColumn("final", F.min(F.when(~F.col("full"), F.col("level"))).over(every))
+    s = s.withColumn("final", F.max(F.when(~F.col("full"), F.col("level"))).over(every))
     return s.select("source", "source_size", "n", F.when(F.col("full"), F.col("top")).otherwise(F.col("final") * F.col("w")).alias("target"))
 
 

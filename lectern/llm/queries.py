@@ -106,7 +106,7 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY so
 n AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS n FROM s),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][n % 3 + 1] AS w, 2.0::DOUBLE * source_size AS top, [-0.5::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE][n % 3 + 1] AS a FROM n),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(top) OVER (ORDER BY top / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(w) OVER (ORDER BY top / w, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, a, CASE WHEN level * w >= top THEN top ELSE min(CASE WHEN level * w < top THEN level END) OVER () * w END AS target FROM l),
+t AS (SELECT source, source_size, a, CASE WHEN level * w >= top THEN top ELSE max(CASE WHEN level * w < top THEN level END) OVER () * w END AS target FROM l),
 o AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.a,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2.0::DOUBLE AS middle
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),

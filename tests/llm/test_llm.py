@@ -95,7 +95,7 @@ def test_codewords():
 
 def test_main_text(spark):
     page = lambda i: f"<html><head><title>t</title><script>a<b</script></head><body><nav><a>menu</a></nav><div>Follow us today</div><article><h1>Head {i}</h1><p>One &amp; <b>two</b><br>three {i}<p>four</article><div class='comments'>nice</div><footer>c</footer>"
-    rows = [(i, "http://h.org/x", page(i)) for i in range(6)] + [(6, None, None), (7, "bad", "<p>a  b<!-- c"), (8, "http://h.org/y", "<div>Follow us today</div><div>own words</div>")]
+    rows = [(i, "http://h.org/x", page(i)) for i in range(6)] + [(6, None, None), (7, "bad", "<p>a  b<!-- c"), (8, "http://h.org/y", "<html><body><div>Follow us today</div><div>own words</div>")]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[2] == "Head 2\nOne & two three 2\nfour" and got[6] == "" and got[7] == "a b" and got[8] == "own words"
 

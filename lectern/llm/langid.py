@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality import features, gathered, held_out
-from .tokens import ids_of, shares
+from .tokens import counts, ids_of
 
 BITS = 15
 LOW, HIGH = 1, 3
@@ -28,8 +28,8 @@ def letters(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "replace").translate(_LETTERS)
 
 
-def ids_shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    return shares(letters(text), LOW, HIGH, BITS)
+def ids_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    return counts(letters(text), LOW, HIGH, BITS)
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
@@ -91,17 +91,17 @@ def decode(z: np.ndarray, code: np.ndarray, trust: np.ndarray) -> tuple[np.ndarr
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 500, at_most: int = 3000):
     """A model from texts with a non-null lang that aren't held out: a bounded sample by hash of the id, of about per_language rows for each language and at_most in all."""
     own = docs.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("y")).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
-    counts = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(counts)
+    found = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(found)
     if not langs:
         return [], codewords(0), None
     each = min(per_language, max(1, at_most // len(langs)))
-    share = F.element_at(F.create_map(*[x for y in langs for x in (F.lit(y), F.lit(min(1.0, each / counts[y])))]), F.col("y"))
+    share = F.element_at(F.create_map(*[x for y in langs for x in (F.lit(y), F.lit(min(1.0, each / found[y])))]), F.col("y"))
     picked = own.where(F.pmod(F.xxhash64("k", F.lit(3)), F.lit(1 << 30)) / float(1 << 30) < share)
-    rows = gathered(features(picked, ids_shares))
+    rows = gathered(features(picked, ids_counts))
     place = {y: i for i, y in enumerate(langs)}
     code = codewords(len(langs))
-    return langs, code, train([(ids, weights, place[y]) for ids, weights, y in rows], code)
+    return langs, code, train(rows.labelled(place.__getitem__), code)
 
 
 def identify(docs: DataFrame, model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import clear_of
-from .tokens import ids_of, shares
+from .tokens import counts, ids_of, pack, unpack
 
 BITS = 17
 LOW, HIGH = 3, 5
@@ -25,34 +25,47 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def ids_shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    return shares((text or "").encode("utf-8", "replace"), LOW, HIGH, BITS, REPEAT)
+def ids_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    return counts((text or "").encode("utf-8", "replace"), LOW, HIGH, BITS, REPEAT)
+
+
+class Sample:
+    """Rows (ids, weights, label), held packed and unpacked one at a time, so that the driver needs a fraction of their size."""
+
+    def __init__(self, packed: list[bytes], labels: list):
+        self.packed, self.labels = packed, labels
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, object]:
+        return (*unpack(self.packed[i]), self.labels[i])
+
+    def labelled(self, name) -> Sample:
+        """The same rows with name(label) for label."""
+        return Sample(self.packed, [name(y) for y in self.labels])
 
 
 def features(docs: DataFrame, make, label: str = "y") -> DataFrame:
-    """(label, ids, weights) of the texts of docs (text, label), made on the executors."""
+    """(k, label, packed) of the texts of docs (k, text, label): their ids and counts, made and packed on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [make(t) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["k"], b[label], pa.array([x for x, _ in made], pa.list_(pa.int32())), pa.array([w for _, w in made], pa.list_(pa.float32()))], ["k", label, "ids", "weights"])
+            made = [pack(*make(t.as_py())) for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([b["k"], b[label], pa.array(made, pa.binary())], ["k", label, "packed"])
 
     kind = docs.schema[label].dataType
-    return docs.select("k", "text", label).mapInArrow(run, T.StructType([T.StructField("k", T.StringType()), T.StructField(label, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.FloatType()))]))
+    return docs.select("k", "text", label).mapInArrow(run, T.StructType([T.StructField("k", T.StringType()), T.StructField(label, kind), T.StructField("packed", T.BinaryType())]))
 
 
-def gathered(made: DataFrame, label: str = "y") -> list[tuple[np.ndarray, np.ndarray, object]]:
-    """The bounded sample (ids, weights, label) on the driver, in the order of its keys; arrays are views of Arrow's."""
+def gathered(made: DataFrame, label: str = "y") -> Sample:
+    """The bounded sample on the driver, in the order of its keys."""
     t = made.toArrow()
     t = t.sort_by([("k", "ascending")])
-    ids, weights, y = (t[c].combine_chunks() for c in ("ids", "weights", label))
-    if not len(y):
-        return []
-    at, i, w = ids.offsets.to_numpy(), ids.values.to_numpy(), weights.values.to_numpy()
-    return [(i[at[n] : at[n + 1]], w[at[n] : at[n + 1]], v) for n, v in enumerate(y.to_pylist())]
+    return Sample(t["packed"].to_pylist(), t[label].to_pylist())
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], *, dim: int = 16, epochs: int = 6, rate: float = 0.8, seed: int = 7) -> tuple[np.ndarray, float, float]:
+def train(rows: Sample | list[tuple[np.ndarray, np.ndarray, int]], *, dim: int = 16, epochs: int = 6, rate: float = 0.8, seed: int = 7) -> tuple[np.ndarray, float, float]:
     """(value of each bucket, bias, score of an unknown text) by stochastic gradient descent on (ids, weights, label).
 
     A document's vector is the weighted mean of its ids' embeddings; softmax over two outputs. As both are linear, an id's
@@ -90,8 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     own = docs.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{text}`").alias("text"))
     # max_rows bounds the broadcast side.
     picked = own.join(F.broadcast(marks), "k").groupBy("k").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    rows = gathered(features(picked, ids_shares))
-    return train(rows) if rows else (np.zeros(1 << BITS, np.float32), 0.0)
+    rows = gathered(features(picked, ids_counts))
+    return train(rows) if len(rows) else (np.zeros(1 << BITS, np.float32), 0.0)
 
 
 def score(docs: DataFrame, model, *, text: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:

@@ -350,9 +350,9 @@ def _(t):
     return t("orders").select("o_orderkey", X.clock(F.col("o_totalprice") / 10).alias("c"))
 
 
-@query("dt_05_iso", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+@query("dt_05_iso", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
 def _(t):
-    return t("events").select("event_id", X.iso(F.col("ts")).alias("at"))
+    return t("events").select("event_id", X.iso(F.col("ts")).alias("iso"))
 
 
 @query("flt_13_followed", "SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0 OR c_nationkey = 1 OR c_custkey IN (SELECT user_id FROM events GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 24)")

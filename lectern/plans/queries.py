@@ -174,10 +174,10 @@ def _(t):
     return t("conversations").select("conv_id", "turn", F.contains("text", F.lit("the")).alias("found"))
 
 
-@query("join_16_merge", "SELECT coalesce(a.k, b.k) AS k, coalesce(b.at, a.at) AS at, greatest(coalesce(a.n, b.n), coalesce(b.n, a.n)) AS n FROM (SELECT o_custkey AS k, max(o_orderkey) AS at, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, max(o_orderkey) AS at, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.k = b.k")
+@query("join_16_merge", "SELECT coalesce(a.k, b.k) AS k, coalesce(b.latest, a.latest) AS latest, greatest(coalesce(a.n, b.n), coalesce(b.n, a.n)) AS n FROM (SELECT o_custkey AS k, max(o_orderkey) AS latest, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, max(o_orderkey) AS latest, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.k = b.k")
 def _(t):
-    side = lambda s: t("orders").where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("at"), F.count("*").alias("n"))
-    return R.full_merge(side("F"), side("O"), "k", ["at"], ["n"])
+    side = lambda s: t("orders").where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("latest"), F.count("*").alias("n"))
+    return R.full_merge(side("F"), side("O"), "k", ["latest"], ["n"])
 
 
 @query("join_17_three_way", "WITH s AS (SELECT o_custkey AS k, count(*) FILTER (o_orderstatus = 'F') AS b, count(*) FILTER (o_orderstatus <> 'O') AS o, count(*) FILTER (o_orderstatus <> 'P') AS t FROM orders GROUP BY 1) SELECT k, CASE WHEN o = 0 THEN b ELSE o END + CASE WHEN t = 0 THEN b ELSE t END - b AS n FROM s")

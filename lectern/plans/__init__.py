@@ -1 +1,3 @@
-"""Part of the archive engine."""
+"""Named queries; importing the package registers them all in `queries.QUERIES` and `queries.ORACLES`."""
+
+from . import ledgers, queries  # noqa: F401

@@ -120,3 +120,19 @@ def pages(df: DataFrame, order: Sequence[Column], head: int, size: int) -> DataF
 def usage(df: DataFrame, role: str, model: str, value: str) -> DataFrame:
     """AGG-08: sums by role and model, by role, and in all."""
     return df.rollup(role, model).agg(F.sum(value).alias("total"), F.count("*").alias("calls"))
+
+
+def fair_cap(df: DataFrame, group: str, size: str, budget: int, floor: int) -> DataFrame:
+    """WIN-15: the equal limit per piece under which a group fits its budget: pieces below the limit leave the rest to the others. The largest size where all fit; never under floor."""
+    w = Window.partitionBy(group)
+    up = w.orderBy(size).rowsBetween(Window.unboundedPreceding, 0)
+    r = df.select(group, size, (F.lit(budget) - F.sum(size).over(up) + F.col(size)).alias("_room"), (F.count("*").over(w) - F.row_number().over(w.orderBy(size)) + 1).alias("_left"))
+    share = F.floor(F.col("_room") / F.col("_left"))
+    return r.groupBy(group).agg(F.greatest(F.lit(floor).cast("long"), F.coalesce(F.min(F.when(F.col(size) * F.col("_left") > F.col("_room"), share)), F.max(size))).alias("cap"))
+
+
+def regroup(df: DataFrame, group: str, order: Sequence[str], text: str, n: int) -> DataFrame:
+    """WIN-18: blocks of n consecutive rows, their texts joined by spaces."""
+    x = df.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+    joined = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("_i", F.col(text).cast("string").alias("_t")))), lambda r: r["_t"]))
+    return x.groupBy(group, F.floor(F.col("_i") / n).alias("block")).agg(joined.alias("text"))

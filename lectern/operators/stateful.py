@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,52 @@ def dedupe_rolling(segments: DataFrame, key: str = "id", pos: str = "pos", text:
 def interleave(rows: DataFrame, person: str, rank_in_person: Column, order: Column) -> DataFrame:
     """WIN-08: round-robin over persons, each one's queue in its own order."""
     return rows.withColumn("turn", rank_in_person).orderBy("turn", order)
+
+
+def blocks(rows: DataFrame, key: str, at: str, item: str, width: int) -> DataFrame:
+    """STF-03: rows in blocks that begin at the first row more than width after the block's first; as (key, block, start, n). One recording is one group."""
+
+    def fold(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for s in rows.sort_values([at, item])[at]:
+            if not out or s - out[-1][0] >= width:
+                out.append([s, 0])
+            out[-1][1] += 1
+        return pd.DataFrame([(k[0], i, s, n) for i, (s, n) in enumerate(out)], columns=[key, "block", "start", "n"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.where(F.col(at).isNotNull()).groupBy(key).applyInPandas(fold, f"{key} {kind}, block long, start long, n long")
+
+
+def spread(rows: DataFrame, item: str, source: str, category: str, score: str, starved: Column, followed: Column, *, limit: int, per_source: int = 2) -> DataFrame:
+    """STF-04: a budget of limit rows in turns: per source the best per_source; then half the budget to starved sources, the followed ones, one row of each category, and the rest by score.
+
+    Every turn is a rank, so the choice is one sort of rows by (turn, score, item); only the first limit rows of a turn can matter, whence each turn is cut to that before the last sort.
+    """
+    order = [F.col(score).desc(), F.col(item)]
+    capped = rows.withColumns({"_starved": starved, "_followed": followed, "_rank": F.row_number().over(Window.partitionBy(source).orderBy(*order))}).where(F.col("_rank") <= per_source)
+    best = capped.groupBy(category).agg(F.min_by(item, F.struct(-F.col(score), F.col(item))).alias("_best"))
+    x = capped.join(best, category).withColumn("_first", F.col(item) == F.col("_best"))
+    half = x.where("_starved").orderBy(*order).limit(limit // 2).select(item, F.lit(0).alias("_turn"))
+    x = x.join(half, item, "left").withColumn("turn", F.coalesce("_turn", F.when(F.col("_followed"), 1).when(F.col("_first"), 2).otherwise(3)))
+    return x.orderBy("turn", *order).limit(limit).select(item, source, category, score, "turn")
+
+
+def chunks(texts: DataFrame, key: str, text: str, size: int, anchor: str = "\n[") -> DataFrame:
+    """STF-05: pieces of at most size characters, cut before the last anchor in the second half of the window, else hard; joined they are the text. Null and empty texts have no piece."""
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for k, s in zip(b[key], b[text], strict=True):
+                at = i = 0
+                while s and at < len(s):
+                    end = at + size
+                    if end < len(s) and (found := s.rfind(anchor, at + size // 2, end)) > at:
+                        end = found
+                    out.append((k, i, s[at:end]))
+                    at, i = end, i + 1
+            yield pd.DataFrame(out, columns=[key, "pos", "piece"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, text).mapInPandas(cut, f"{key} {kind}, pos int, piece string")

@@ -1,3 +1,3 @@
 """Named queries; importing the package registers them all in `queries.QUERIES` and `queries.ORACLES`."""
 
-from . import aggregates, ledgers, queries  # noqa: F401
+from . import aggregates, ledgers, queries, texts  # noqa: F401

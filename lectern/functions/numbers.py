@@ -105,3 +105,13 @@ def _grounded(value: pd.Series, text: pd.Series) -> pd.Series:
 def number_in(value: Column, text: Column) -> Column:
     """NUM-01 as a column."""
     return _grounded(value, text)
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _grounded_each(values: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([None if vs is None else [grounded(v, s) for v in vs] for vs, s in zip(values, text, strict=True)])
+
+
+def numbers_in(values: Column, text: Column) -> Column:
+    """NUM-01 of each of an array of values against one text."""
+    return _grounded_each(values, text)

@@ -198,11 +198,11 @@ def _(t):
     return L.class_wide(t("customer"), "c_nationkey", F.col("c_acctbal") > 9900, F.col("c_acctbal") > 9500)
 
 
-@query("stf_07_follow_up", "WITH b AS (SELECT user_id AS k, min(CAST(ts AS DATE)) AS f, count(*) % 4 AS tries, count(*) FILTER (event_type = 'error') % 3 AS lost FROM events WHERE user_id % 2 = 0 AND ts >= TIMESTAMP '2024-01-20' GROUP BY 1), s AS (SELECT user_id AS k, min(CAST(ts AS DATE)) AS seen FROM events WHERE user_id % 3 = 0 AND ts >= TIMESTAMP '2024-01-29' GROUP BY 1), j AS (SELECT coalesce(b.k, s.k) AS user_id, coalesce(f, seen) AS first_seen, coalesce(tries, 0) + CASE WHEN seen IS NULL THEN 0 ELSE 1 END AS tries, coalesce(lost, 0) + CASE WHEN seen IS NULL THEN 1 ELSE 0 END AS lost FROM b FULL JOIN s ON b.k = s.k) SELECT user_id, first_seen, CAST(tries AS BIGINT) AS tries, CAST(lost AS BIGINT) AS lost, CAST(datediff('day', first_seen, DATE '2024-01-31') AS INTEGER) AS age, CASE WHEN lost >= 2 THEN 'lost' WHEN datediff('day', first_seen, DATE '2024-01-31') > 3 THEN 'late' END AS red FROM j WHERE datediff('day', first_seen, DATE '2024-01-31') <= 14")
+@query("stf_07_follow_up", "WITH b AS (SELECT user_id AS k, min(CAST(ts AS DATE)) AS f, count(*) % 4 AS tries, count(*) FILTER (event_type = 'error') % 3 AS lost FROM events WHERE event_type <> 'view' AND ts >= TIMESTAMP '2024-01-20' GROUP BY 1), s AS (SELECT user_id AS k, min(CAST(ts AS DATE)) AS seen FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-30' GROUP BY 1), j AS (SELECT coalesce(b.k, s.k) AS user_id, coalesce(f, seen) AS first_seen, coalesce(tries, 0) + CASE WHEN seen IS NULL THEN 0 ELSE 1 END AS tries, coalesce(lost, 0) + CASE WHEN seen IS NULL THEN 1 ELSE 0 END AS lost FROM b FULL JOIN s ON b.k = s.k) SELECT user_id, first_seen, CAST(tries AS BIGINT) AS tries, CAST(lost AS BIGINT) AS lost, CAST(datediff('day', first_seen, DATE '2024-01-31') AS INTEGER) AS age, CASE WHEN lost >= 2 THEN 'lost' WHEN datediff('day', first_seen, DATE '2024-01-31') > 3 THEN 'late' END AS red FROM j WHERE datediff('day', first_seen, DATE '2024-01-31') <= 14")
 def _(t):
     e = t("events").select("user_id", "event_type", F.to_date("ts").alias("day"))
-    before = e.where("user_id % 2 = 0 AND day >= '2024-01-20'").groupBy("user_id").agg(F.min("day").alias("first_seen"), (F.count("*") % 4).alias("tries"), (F.count_if(F.col("event_type") == "error") % 3).alias("lost"))
-    now = e.where("user_id % 3 = 0 AND day >= '2024-01-29'").groupBy("user_id").agg(F.min("day").alias("at"))
+    before = e.where("event_type <> 'view' AND day >= '2024-01-20'").groupBy("user_id").agg(F.min("day").alias("first_seen"), (F.count("*") % 4).alias("tries"), (F.count_if(F.col("event_type") == "error") % 3).alias("lost"))
+    now = e.where("event_type = 'view' AND day >= '2024-01-30'").groupBy("user_id").agg(F.min("day").alias("at"))
     return L.follow_up(before, now, "user_id", day())
 
 

@@ -192,11 +192,10 @@ def _(t):
     return R.last_event(t("orders"), "o_custkey", "o_orderkey", "o_orderkey")
 
 
-@query("join_20_related", "WITH x AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS tag FROM lineitem), d AS (SELECT tag, count(*) AS df FROM x GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60), w AS (SELECT k, tag, 1 / ln(df + 1.5::DOUBLE) AS w FROM x JOIN d USING (tag)), p AS (SELECT a.k AS k, b.k AS peer, round(sum(a.w), 6) AS score FROM w a JOIN w b ON a.tag = b.tag AND a.k <> b.k WHERE a.k < 200 GROUP BY 1, 2) SELECT k, peer, score, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, peer) AS INTEGER) AS rank FROM p QUALIFY rank <= 5")
+@query("join_20_related", "WITH x AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS tag FROM lineitem), d AS (SELECT tag, count(*) AS df FROM x GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60), w AS (SELECT k, tag, 1 / ln(df + 1.5::DOUBLE) AS w FROM x JOIN d USING (tag)), p AS (SELECT a.k AS k, b.k AS peer, round(sum(a.w), 6) AS score FROM w a JOIN w b ON a.tag = b.tag AND a.k <> b.k GROUP BY 1, 2) SELECT k, peer, score, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, peer) AS INTEGER) AS rank FROM p QUALIFY rank <= 5")
 def _(t):
-    # The page of one item asks for its peers; here the items below key 200.
     x = t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("tag")).distinct()
-    return R.related(x, "k", "tag").where("k < 200").select("k", "peer", "score", "rank")
+    return R.related(x, "k", "tag").select("k", "peer", "score", "rank")
 
 
 @query("join_21_members", "SELECT DISTINCT user_id FROM (SELECT user_id FROM events WHERE value > 480 UNION ALL SELECT user_id FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 15)")
@@ -205,13 +204,14 @@ def _(t):
     return e.where("value > 480").select("user_id").union(e.where("event_type = 'error'").groupBy("user_id").count().where("count >= 15").select("user_id")).distinct()
 
 
-@query("join_08_name_match", "WITH x AS (SELECT DISTINCT p_partkey AS k, p_type, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_size = 7), n AS (SELECT k, count(*) AS n FROM x GROUP BY 1) SELECT a.k AS x, b.k AS y, count(*) / (any_value(na.n) + any_value(nb.n) - count(*))::DOUBLE AS jaccard FROM x a JOIN x b ON a.w = b.w AND a.k < b.k JOIN n na ON na.k = a.k JOIN n nb ON nb.k = b.k GROUP BY 1, 2 HAVING jaccard >= 0.5")
+@query("join_08_name_match", "WITH p AS (SELECT DISTINCT p_name AS name FROM part), x AS (SELECT DISTINCT name, unnest(string_split(name, ' ')) AS w FROM p), n AS (SELECT name, count(*) AS n FROM x GROUP BY 1) SELECT a.name AS x, b.name AS y, count(*) / (any_value(na.n) + any_value(nb.n) - count(*))::DOUBLE AS jaccard FROM x a JOIN x b ON a.w = b.w AND a.name < b.name JOIN n na ON na.name = a.name JOIN n nb ON nb.name = b.name GROUP BY 1, 2 HAVING jaccard >= 0.3")
 def _(t):
-    p = t("part").where("p_size = 7").select(F.col("p_partkey").alias("k"), F.array_distinct(F.split("p_name", " ")).alias("ws"))
-    x = p.select("k", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    # Pairs of different names; rows with one name are that name's class.
+    p = t("part").select(F.col("p_name").alias("name")).distinct().withColumn("ws", F.array_distinct(F.split("name", " ")))
+    x = p.select("name", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     a, b = x.alias("a"), x.alias("b")
-    j = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.k") < F.col("b.k"))).groupBy(F.col("a.k").alias("x"), F.col("b.k").alias("y")).agg(F.count("*").alias("c"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"))
-    return j.select("x", "y", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard")).where("jaccard >= 0.5")
+    j = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.name") < F.col("b.name"))).groupBy(F.col("a.name").alias("x"), F.col("b.name").alias("y")).agg(F.count("*").alias("c"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"))
+    return j.select("x", "y", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard")).where("jaccard >= 0.3")
 
 
 @query("win_02_neighbours", "SELECT event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")

@@ -19,8 +19,8 @@ BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 #: A shingle in fewer than one of CLIP documents has the full weight; commoner ones weigh less, down to FLOOR.
 CLIP, FLOOR = 64, 0.9
-#: Candidates whose sketches agree in less than this part reach SIMILARITY only by a deviation of 2.6 sigma or more.
-ESTIMATE = 0.65
+#: Candidates whose sketches agree in less than this part reach SIMILARITY with a probability of 4e-7 at most; no band is shared with 0.0018.
+ESTIMATE = 0.5
 #: Texts of a bucket that are compared pair by pair in one task; larger buckets are dealt to pairs of blocks.
 GROUP = 1500
 #: Broadcast sides have at most so many keys of 16 bytes; beyond, a shuffle or several passes.

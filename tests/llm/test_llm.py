@@ -150,6 +150,25 @@ def test_near_duplicates(spark, odd):
     assert neardup.deduplicated(odd).count() == 6 and neardup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_a_pair_that_shares_a_band_is_compared_exactly(spark):
+    rng, w = random.Random(21), neardup.Weights(1, {})
+    texts = [(i, words(rng, 20)) for i in range(400)]
+    pairs = []
+    while len(pairs) < 4:  # similar pairs that share a band, though few of their samples agree
+        a = words(rng, 186).split()
+        b = a[:]
+        for k in range(4):
+            b[20 + 45 * k] = "edited"
+        a, b = " ".join(a), " ".join(b)
+        x, y = w.of(a), w.of(b)
+        same = neardup.samples(*x) == neardup.samples(*y)
+        if neardup.similarity(x, y) >= neardup.SIMILARITY and same.reshape(neardup.BANDS, neardup.ROWS).all(1).any() and same.mean() < 0.65:
+            pairs.append((a, b))
+    texts += [(1000 + 2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[1001 + 2 * i] for i in range(4)] == [1000, 1002, 1004, 1006]
+
+
 def test_sketches_estimate_weighted_jaccard():
     rng = np.random.default_rng(2)
     h = np.sort(rng.integers(1, 1 << 63, 400, dtype=np.uint64))

@@ -30,9 +30,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, sorted by training position; one taken twice comes twice."""
+    """Documents that the mix takes, sorted by training position; one taken twice comes twice, each time at its own position."""
     mixed = mixing.mix(docs, keep=docs.columns).where("taken > 0")
-    repeated = mixed.withColumn("_take", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
+    repeated = mixed.withColumn("position", F.explode("positions"))
     return mixing.by_position(repeated).select(*docs.columns)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-MADE = ("size", "source_size", "target", "taken", "position")
+MADE = ("size", "source_size", "target", "taken", "position", "positions")
 
 
 def word_count(text: Column) -> Column:
@@ -69,7 +69,7 @@ def mix(
     rows_per_bucket: int = 20_000,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """docs with size, source_size, target, taken (words the mix takes, repeats counted) and position (of the first take, in millionths of the training time).
+    """docs with size, source_size, target, taken (words the mix takes, repeats counted), position (of the first take, in millionths of the training time) and positions (of each take).
 
     Each source is a stream of its documents in the order of an md5 of the key, repeated until its target is met; a document is
     taken as often as the middle of its words falls inside the target, so the words taken from a source differ from its
@@ -101,8 +101,11 @@ def mix(
     middle = F.col("_before") + F.col("_inside") + F.col("size") / 2.0
     # Passes over the stream in which the middle lies below the target.
     takes = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.least(F.lit(int(cap)), F.greatest(F.lit(0), F.ceil((F.col("target") - middle) / F.col("source_size")))))
-    at = time_of(F.least(F.lit(1.0), middle / F.col("target")), slope(F.col("n"), slopes))
-    return rows.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", (takes * F.col("size")).cast("long").alias("taken"), F.when(takes > 0, F.floor(at * 1e6)).cast("long").alias("position"))
+    a = slope(F.col("n"), slopes)
+    at = lambda x: F.floor(time_of(F.least(F.lit(1.0), x / F.col("target")), a) * 1e6).cast("long")
+    # A take's demand lies in its own pass: a source's second pass follows all of its first.
+    passes = F.when(takes > 0, F.transform(F.sequence(F.lit(0), (takes - 1).cast("int")), lambda p: at(middle + p * F.col("source_size"))))
+    return rows.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", (takes * F.col("size")).cast("long").alias("taken"), F.when(takes > 0, at(middle)).alias("position"), passes.alias("positions"))
 
 
 def by_position(mixed: DataFrame, key: str = "doc_id", partitions: int | None = None) -> DataFrame:

@@ -97,7 +97,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.by_position(mixing.mix(docs, keep=["doc_id"]))
+    return mixing.by_position(mixing.mix(docs, keep=["doc_id"]).drop("positions"))
 
 
 OP10_SQL = r"""

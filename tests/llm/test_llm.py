@@ -189,6 +189,29 @@ def test_mixing(spark, docs, odd):
     assert mixing.mix(odd).count() == 8 and mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_takes_follow_the_schedule(spark, docs):
+    import corpus_pipeline
+
+    rows = mixing.mix(docs).where("taken > 0").collect()
+    assert all(len(r.positions) * r.size == r.taken and r.positions[0] == r.position for r in rows)
+    names = sorted({r.source for r in mixing.mix(docs).select("source").collect()}, key=lambda s: (s is None, s))
+    laid = [r.doc_id for r in corpus_pipeline.mix(spark, docs, SF).collect()]
+    twice = 0
+    for n, s in enumerate(names):
+        own, a = [r for r in rows if r.source == s], (-0.5, 0.0, 0.5)[n % 3]
+        longest = max(r.size for r in own)
+        for t in (0.1, 0.25, 0.5, 0.75, 0.9):
+            words = sum(r.size for r in own for p in r.positions if p < t * 1e6)
+            assert abs(words - own[0].target * ((1 - a) * t + a * t * t)) <= longest + 1
+        ids = {r.doc_id for r in own}
+        lie = [i for i in laid if i in ids]
+        assert len(lie) == sum(len(r.positions) for r in own)
+        repeats = [i for i, x in enumerate(lie) if x in lie[:i]]
+        twice += len(repeats)
+        assert not repeats or repeats[0] == len(ids)
+    assert twice
+
+
 def test_pipeline_keeps_one_of_each(spark):
     import corpus_pipeline
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, materialize, splittable
 
@@ -31,41 +32,97 @@ def flows(demand: list[list[float]], loads: list[float], capacity: float) -> lis
     return f
 
 
-def propagate(linked: DataFrame, n_shards: int, capacity: float, rounds: int, large: int) -> DataFrame:
-    """linked (rid, hub, n) with the shard that label propagation finds.
+def propagate(linked: DataFrame, n_shards: int, capacity: float, rounds: int, taken: list[int]) -> DataFrame:
+    """linked (rid, hub, n) with the shard that label propagation finds, where taken places of each shard are given away.
 
-    Each round, the documents of each hub are counted by shard, every document prefers the shard where most of
-    its neighbours are, and moves there as far as the quotas of (from, to) allow. The documents of a hub are admitted together,
-    those of hubs of more than large documents one by one, as such a hub may exceed a shard.
+    Each round, the documents of each hub are counted by shard, every document prefers, of the shards with room, the one where most of
+    its neighbours are, and moves there as far as the quotas of (from, to) allow. The documents of a hub are admitted together;
+    a hub that a full shard blocks prefers its next in the next round.
     """
     u = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 20)) / float(1 << 20)
     now = materialize(linked.withColumn("shard", F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(n_shards)).cast("int")))
     for step in range(rounds):
+        loads = [float(x) for x in taken]
+        for r in now.groupBy("shard").agg(F.count("*").alias("c")).collect():
+            loads[r["shard"]] += r.c
+        room = F.element_at(F.array(*[F.lit(x < capacity) for x in loads]), F.col("shard") + 1)
         counts = now.groupBy("hub", "shard").agg(F.count("*").alias("c"))
-        order = F.struct("c", F.xxhash64("hub", "shard").alias("h"), "shard")
+        order = F.struct(room.alias("room"), "c", F.xxhash64("hub", "shard").alias("h"), "shard")
         best = counts.groupBy("hub", splittable("hub")).agg(F.max(order).alias("best")).select("hub", F.col("best.shard").alias("to"))
         wish = materialize(now.join(best, "hub"))
         demand = [[0.0] * n_shards for _ in range(n_shards)]
-        loads = [0.0] * n_shards
         for r in wish.groupBy("shard", "to").agg(F.count("*").alias("c")).collect():  # n_shards^2 rows at most
-            loads[r["shard"]] += r.c
             if r.to != r["shard"]:
                 demand[r["shard"]][r.to] = float(r.c)
         if not any(map(any, demand)):
             discard(wish)
             break
         allowed = flows(demand, loads, capacity)
-        part = F.lit(0.0)
         shares = [F.lit(allowed[i][j] / demand[i][j] if demand[i][j] else 0.0) for i in range(n_shards) for j in range(n_shards)]
         part = F.element_at(F.array(*shares), F.col("shard") * n_shards + F.col("to") + 1)
-        luck = F.when(F.col("n") > large, u("rid", F.lit(step))).otherwise(u("hub", F.lit(step)))
-        moved = materialize(wish.select("rid", "hub", "n", F.when(luck < part, F.col("to")).otherwise(F.col("shard")).alias("shard")))
+        moved = materialize(wish.select("rid", "hub", "n", F.when(u("hub", F.lit(step)) < part, F.col("to")).otherwise(F.col("shard")).alias("shard")))
         discard(now)
         discard(wish)
         now = moved
     return now
 
 
+def fit(hubs: list[tuple], free: list[int]) -> list[tuple]:
+    """(hub, shard) for the hubs (hub, n) that fit whole into free places, largest first, each where it leaves least; free is lowered."""
+    out = []
+    for hub, n in sorted(hubs, key=lambda x: (-x[1], x[0])):
+        if some := [s for s in range(len(free)) if free[s] >= n]:
+            s = min(some, key=lambda s: (free[s], s))
+            free[s] -= n
+            out.append((hub, s))
+    return out
+
+
+def ends(hubs: DataFrame, group: list[str], buckets: list[str]) -> DataFrame:
+    """hubs (hub, n) with end, the running sum of n within group in the order of buckets, then hub; summed in buckets, like numbered()."""
+    sums = hubs.groupBy(*group, *buckets).agg(F.sum("n").alias("_c"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(*group).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    inside = F.sum("n").over(Window.partitionBy(*group, *buckets).orderBy("hub").rowsBetween(Window.unboundedPreceding, 0))
+    return hubs.withColumn("_inside", inside).join(before, [*group, *buckets]).withColumn("end", F.col("_before") + F.col("_inside")).drop("_before", "_inside")
+
+
+def place(linked: DataFrame, target: list[int], rounds: int, rows_per_bucket: int) -> DataFrame:
+    """(hub, shard) of the hubs that get into one shard whole, for linked (rid, hub, n); no shard gets more than its target.
+
+    Hubs of more than an eighth of a shard, few, are fitted by the driver first. Label propagation brings the others together; those
+    that a shard's exact size or a quota keeps out are laid into the free places of all shards in turn, larger ones first, and the
+    few that would lie across the end of a shard are fitted by the driver. What is left fits nowhere whole.
+    """
+    n_shards, free = len(target), target[:]
+    large = max(1, target[-1] // 8)
+    name = linked.schema["hub"]
+    big = [(r.hub, r.n) for r in linked.where((F.col("n") > large) & (F.col("n") <= max(target))).select("hub", "n").distinct().collect()]  # at most 16 a shard
+    by_driver = fit(big, free)
+    placed = propagate(linked.where(F.col("n") <= large), n_shards, max(1.0, float(target[-1])), rounds, [t - f for t, f in zip(target, free, strict=True)])
+    b1 = F.pmod(F.xxhash64("hub"), F.lit(max(1, sum(target) // rows_per_bucket)))
+    hubs = materialize(placed.groupBy("hub", "n").agg(F.min("shard").alias("shard"), F.max("shard").alias("hi")).withColumn("b1", b1))
+    size_of = F.element_at(F.array(*[F.lit(x) for x in free]), F.col("shard") + 1)
+    together = ends(hubs.where("shard = hi"), ["shard"], ["b1"])
+    settled = materialize(together.where(F.col("end") <= size_of).select("hub", "n", "shard"))
+
+    def lower(done: DataFrame) -> None:
+        for r in done.where("shard is not null").groupBy("shard").agg(F.sum("n").alias("c")).collect():
+            free[r["shard"]] -= r.c
+
+    lower(settled)
+    left = hubs.join(settled.select("hub"), "hub", "left_anti").select("hub", "n", "b1", F.lit(0).alias("g"), (-F.floor(F.log2("n"))).alias("b0"))
+    left = ends(left, ["g"], ["b0", "b1"])
+    at, into = 0, F.lit(None).cast("int")
+    for s in range(n_shards):
+        into = F.when((F.col("end") - F.col("n") >= at) & (F.col("end") <= at + free[s]), F.lit(s)).otherwise(into)
+        at += free[s]
+    packed = materialize(left.select("hub", "n", into.alias("shard")))
+    lower(packed)
+    by_driver += fit([(r.hub, r.n) for r in packed.where("shard is null").select("hub", "n").collect()], free)  # fewer than n_shards
+    out = settled.select("hub", "shard").union(packed.where("shard is not null").select("hub", "shard"))
+    return out.union(linked.sparkSession.createDataFrame(by_driver, T.StructType([name, T.StructField("shard", T.IntegerType())])))
+
+
 def numbered(rows: DataFrame, group: list[str], buckets: list[str], by: list[str], name: str) -> DataFrame:
     """rows with a gapless number from 0 within group, in the order of buckets, then by.
 
@@ -81,26 +138,26 @@ def shard(vertices: DataFrame, links: DataFrame, *, n_shards: int = 16, rounds:
     """(rid, shard, slot) for vertices (rid) and links (rid, hub): documents of a hub are linked with each other.
 
     Counts of the shards are at most one apart; slots are gapless from 0 in each. Linked documents are placed by label
-    propagation under capacity quotas; what still exceeds a shard's exact size, and the documents without links, fill the
-    places left. A document takes part through one hub (the smallest); hubs of one document link nothing.
+    propagation under capacity quotas, hubs that fit into a shard first and whole; the documents of hubs that fit nowhere, hub by hub,
+    and those without links fill the places left. A document takes part through one hub (the smallest); hubs of one document link nothing.
     """
     total = vertices.count()
     one = links.where("hub is not null").groupBy("rid").agg(F.min("hub").alias("hub"))
     sizes = one.groupBy("hub", splittable("hub")).agg(F.count("*").alias("n")).where("n > 1").select("hub", "n")
-    linked = one.join(sizes, "hub").select("rid", "hub", "n")
+    linked = materialize(one.join(sizes, "hub").select("rid", "hub", "n"))
     base, more = divmod(total, n_shards)
     target = [base + (s < more) for s in range(n_shards)]
-    placed = propagate(linked, n_shards, max(1.0, float(base)), rounds, max(1, min(rows_per_bucket * 4, base // 8)))
-    # Linked documents in the order of their hubs, so that a cut at a shard's size parts one hub.
+    whole = materialize(place(linked, target, rounds, rows_per_bucket))
+    placed = linked.where(F.col("n") <= max(target)).join(whole, "hub")
     n_buckets = max(1, total // (n_shards * rows_per_bucket))
     spread = F.when(F.col("n") > rows_per_bucket, F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / float(rows_per_bucket)))).otherwise(F.lit(0))
     ranked = numbered(placed.withColumns({"b1": F.pmod(F.xxhash64("hub"), F.lit(n_buckets)), "b2": spread}), ["shard"], ["b1", "b2"], ["hub", "rid"], "slot")
-    size_of = F.element_at(F.array(*[F.lit(t) for t in target]), F.col("shard") + 1)
-    kept = materialize(ranked.where(F.col("slot") < size_of).select("rid", "shard", "slot"))
+    kept = materialize(ranked.select("rid", "shard", "slot"))
     have = {r["shard"]: r.c for r in kept.groupBy("shard").agg(F.count("*").alias("c")).collect()}
     pool = vertices.select("rid").join(kept.select("rid"), "rid", "left_anti")
+    pool = pool.join(linked.select("rid", F.col("hub").cast("string").alias("h")), "rid", "left").withColumn("h", F.coalesce("h", F.lit("")))
     pool = pool.withColumn("b", F.pmod(F.xxhash64("rid", F.lit(2)), F.lit(max(1, total // rows_per_bucket))))
-    pool = numbered(pool.withColumn("g", F.lit(0)), ["g"], ["b"], ["rid"], "p")
+    pool = numbered(pool.withColumn("g", F.lit(0)), ["g"], ["h", "b"], ["rid"], "p")
     at, into, slot = 0, F.lit(None).cast("int"), F.lit(None).cast("long")
     for s in range(n_shards):
         free = target[s] - have.get(s, 0)

@@ -123,6 +123,17 @@ def test_sharding(spark, docs, odd):
     assert sharding.shard_documents(odd).count() == 8 and sharding.shard_documents(odd.limit(0)).count() == 0
 
 
+def test_groups_that_fit_stay_whole_beside_a_hot_text(spark):
+    texts = ["hot"] * 2000 + [f"middle {i // 150}" for i in range(600)] + [f"small {i // 4}" for i in range(1600)] + [f"own {i}" for i in range(1800)]
+    rows = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    shards = {}
+    for r in rows:
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert [t for t, s in shards.items() if len(s) > 1] == ["hot"]
+    for s in range(16):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(375))
+
+
 def test_near_duplicates(spark, odd):
     rng = random.Random(9)
     base = words(rng, 200).split()

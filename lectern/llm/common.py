@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that part words: everything in ASCII but digits and letters. Bytes from 0x80 on belong to words.
@@ -24,12 +27,14 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one all executors share.
+    """A fresh folder below the one all executors share, which the cluster names in spark.checkpoint.dir.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary folder is made.
+    Where that is unset, a temporary folder is made, but only if the whole of Spark runs on this machine; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
@@ -43,14 +48,44 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes what materialize() wrote for df, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/lectern-" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*written: DataFrame) -> None:
+    """Deletes what materialize() wrote, once nothing reads it any more."""
+    for df in written:
+        spark = df.sparkSession
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            if "/lectern-" in f:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def identified(df: DataFrame) -> DataFrame:
+    """df with _file and _row, which name a row the same way however often and wherever its file is read; what comes from no file is written first."""
+    try:
+        return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return materialize(df).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def offsets(sums: DataFrame, group: list[str], buckets: list[str], value: str, name: str, fan: int = 1000) -> DataFrame:
+    """sums (group, buckets, value) with name, the sum of value over the buckets before, in their order, within group; buckets are whole numbers.
+
+    Buckets are summed in stretches of fan, and the stretches' sums before are added, so that no task runs over all buckets of a group; of
+    several buckets, each is taken within those before it.
+    """
+    before = lambda part, by: F.coalesce(F.sum(value).over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    def joined(a: DataFrame, b: DataFrame, keys: list[str], extra: str) -> DataFrame:
+        b = b.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)], extra)
+        return a.join(b, reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"_j{i}"]) for i, k in enumerate(keys)])).drop(*[f"_j{i}" for i in range(len(keys))])
+
+    out = sums.withColumn(name, F.lit(0))
+    for i, bucket in enumerate(buckets):
+        part = [*group, *buckets[:i]]
+        fine = sums.groupBy(*part, bucket).agg(F.sum(value).alias(value)).withColumn("_stretch", F.floor(F.col(bucket) / fan))
+        coarse = fine.groupBy(*part, "_stretch").agg(F.sum(value).alias(value)).withColumn("_top", before(part, "_stretch"))
+        fine = joined(fine.withColumn("_in", before([*part, "_stretch"], bucket)), coarse, [*part, "_stretch"], "_top").withColumn("_at", F.col("_top") + F.col("_in"))
+        out = joined(out, fine, [*part, bucket], "_at").withColumn(name, F.col(name) + F.col("_at")).drop("_at")
+    return out.drop(value)
 
 
 def clear_of(df: DataFrame, made: Iterable[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import identified, materialize, offsets
 
 MADE = ("size", "source_size", "target", "taken", "position", "positions")
 
@@ -66,33 +66,38 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     slopes: tuple[float, ...] = (-0.5, 0.0, 0.5),
-    rows_per_bucket: int = 20_000,
+    rows_per_bucket: int = 1000,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """docs with size, source_size, target, taken (words the mix takes, repeats counted), position (of the first take, in millionths of the training time) and positions (of each take).
 
     Each source is a stream of its documents in the order of an md5 of the key, repeated until its target is met; a document is
     taken as often as the middle of its words falls inside the target, so the words taken from a source differ from its
-    target by less than its longest document. Running sums are taken in buckets of the order, with the buckets' sums
-    before them, so no source, however hot, meets in one task. Where the text isn't kept, the slim rows are written to the
-    shared folder, so that texts are read once.
+    target by less than its longest document. Everything is computed on slim rows, written to the shared folder, so texts are read
+    once for their sizes; running sums are taken in buckets of the order, with the buckets' sums before them, so no source,
+    however hot, meets in one task. Columns beyond key and source come back by one shuffle join on the row's place in its file.
 
     Null texts have size 0 and are taken 0 words; null sources are a source of their own, last; rows with the same key
     and text share a place in the order by number; empty tables give empty results; clashing input columns are replaced.
     The result is not sorted; by_position() lays it out.
     """
     kept = [c for c in (keep or docs.columns) if c.lower() not in MADE]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias("_source"), word_count(F.col(f"`{text}`")).alias("size"), F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")).alias("_order"))
-    if text not in kept:  # then the rows are slim, and the texts are read once only
-        rows = materialize(rows)
-    slim = rows.select("_source", "size", "_order").groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    sources = materialize(slim)
+    back = any(c not in (key, source) for c in kept)
+    if back:
+        docs, own = identified(docs), ["_file", "_row"]
+        named = [F.col(c) for c in own]
+    else:
+        own = [f"_k{i}" for i in range(len(kept))]
+        named = [F.col(f"`{c}`").alias(k) for c, k in zip(kept, own, strict=True)]
+    order = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary"))
+    slim = materialize(docs.select(*named, F.col(f"`{source}`").alias("_source"), word_count(F.col(f"`{text}`")).alias("size"), order.alias("_order")))
+    sources = materialize(slim.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
     # Buckets by the first bits of the order; their number follows the rows.
     n_rows = sources.agg(F.sum("rows")).first()[0] or 0
     buckets = max(1, -(-n_rows // rows_per_bucket))
-    rows = rows.withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("double") / float(1 << 32) * buckets).cast("int"))
-    sums = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
-    before = sums.select(F.col("_source").alias("s"), F.col("_bucket").alias("b"), F.coalesce(F.sum("_sum").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rows = slim.withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("double") / float(1 << 32) * buckets).cast("int"))
+    sums = rows.groupBy(F.col("_source").alias("s"), F.col("_bucket").alias("b")).agg(F.sum("size").alias("_sum"))
+    before = offsets(sums, ["s"], ["b"], "_sum", "_before")
     targets = source_targets(sources, weights=weights, share=share, cap=cap)
     known = before.join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("source")
     inside = Window.partitionBy("_source", "_bucket").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,7 +110,11 @@ def mix(
     at = lambda x: F.floor(time_of(F.least(F.lit(1.0), x / F.col("target")), a) * 1e6).cast("long")
     # A take's demand lies in its own pass: a source's second pass follows all of its first.
     passes = F.when(takes > 0, F.transform(F.sequence(F.lit(0), (takes - 1).cast("int")), lambda p: at(middle + p * F.col("source_size"))))
-    return rows.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", (takes * F.col("size")).cast("long").alias("taken"), F.when(takes > 0, at(middle)).alias("position"), passes.alias("positions"))
+    made = rows.select(*own, "size", "source_size", "target", (takes * F.col("size")).cast("long").alias("taken"), F.when(takes > 0, at(middle)).alias("position"), passes.alias("positions"))
+    if not back:
+        return made.select(*[F.col(k).alias(c) for c, k in zip(kept, own, strict=True)], *MADE)
+    # Rows are keyed by their places, so no key is hot; the slim side is the one that is hashed.
+    return docs.select(*own, *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)]).join(made.hint("shuffle_hash"), own).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)], *MADE)
 
 
 def by_position(mixed: DataFrame, key: str = "doc_id", partitions: int | None = None) -> DataFrame:

@@ -228,3 +228,22 @@ def test_pipeline_keeps_one_of_each(spark):
 
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "shard", "slot"} <= set(out.columns) and out.count() > 0
+
+
+def test_sharding_uses_all_links(spark):
+    """Communities held together by second hubs only: propagation over all links cuts fewer than chance, and keeps sizes even."""
+    rng = random.Random(31)
+    n, size = 1600, 20
+    links = []
+    for i in range(n):
+        c = i // size
+        links += [(i, f"a{c:03}-{(i % size) // 4}"), (i, f"z{c:03}")] + ([(i, f"y{rng.randrange(n // 20)}")] if i % 5 == 0 else [])
+    vertices = spark.createDataFrame([(i,) for i in range(n)], "rid long")
+    got = {r.rid: r["shard"] for r in sharding.shard(vertices, spark.createDataFrame(links, "rid long, hub string"), rounds=12).collect()}
+    counts = [list(got.values()).count(s) for s in range(16)]
+    assert len(got) == n and max(counts) - min(counts) <= 1
+    hubs = {}
+    for i, h in links:
+        hubs.setdefault(h, []).append(i)
+    cut = {k: np.mean([got[a] != got[b] for h, x in hubs.items() if h[0] == k for a in x for b in x if a < b]) for k in "az"}
+    assert cut["a"] == 0 and cut["z"] < 0.6  # with first hubs alone 0.79

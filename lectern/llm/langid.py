@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,14 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality import features, gathered, held_out
-from .tokens import counts, ids_of
+from .tokens import counts
 
 BITS = 15
 LOW, HIGH = 1, 3
 #: Mean shares of n-grams are small; this brings the classifiers' inputs to the order of one.
 SCALE = 20.0
 MADE = ("lang_pred", "score", "ambiguous")
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters and bytes from 0x80 on stay; the rest parts words.
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -115,11 +113,8 @@ def identify(docs: DataFrame, model, *, text: str = "text", keep: list[str] | No
     sent = docs.sparkSession.sparkContext.broadcast(learned)  # 2^BITS numbers for each bit
 
     def outputs(w: np.ndarray, bias: np.ndarray, text: str | None) -> np.ndarray:
-        n = np.zeros(1 << BITS, np.int64)
-        for ids, _ in ids_of(letters(text), LOW, HIGH, BITS):
-            n += np.bincount(ids, minlength=1 << BITS)
-        own = np.flatnonzero(n)
-        share = n[own].astype(np.float32)
+        own, n = ids_counts(text)
+        share = n.astype(np.float32)
         return SCALE * (share @ w[own]) / max(1.0, float(share.sum())) + bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +125,7 @@ def identify(docs: DataFrame, model, *, text: str = "text", keep: list[str] | No
                 w, bias, trust = sent.value
                 z = np.array([outputs(w, bias, t) for t in texts])
                 best, sure, doubt = decode(z, code, trust)
-                some = [bool(t and _LETTER.search(t)) for t in texts]
+                some = [any(map(str.isalpha, t or "")) for t in texts]
                 pred = [langs[i] if ok else "und" for i, ok in zip(best, some, strict=True)]
                 score, doubt = np.where(some, sure, 0.0), np.where(some, doubt, True)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(pred, pa.string()), pa.array(score), pa.array(doubt)], [*kept, *MADE])

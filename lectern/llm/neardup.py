@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,21 +10,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, clear_of, materialize, mix64, splittable
+from .common import WORD_TABLE, clear_of, discard, materialize, mix64, splittable
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
-#: A shingle in fewer than one of CLIP documents has the full weight; commoner ones weigh less, down to FLOOR.
-CLIP, FLOOR = 64, 0.9
+#: Frequencies are exact for shingles in at least one of CLIP documents, and of all while there are at most CLIP documents; a rarer one counts as
+#: one in CLIP, so that a model of bounded size holds them.
+CLIP = 1024
 #: Candidates whose sketches agree in less than this part reach SIMILARITY with a probability of 4e-7 at most; no band is shared with 0.0018.
 ESTIMATE = 0.5
 #: Texts of a bucket that are compared pair by pair in one task; larger buckets are dealt to pairs of blocks.
 GROUP = 1500
 #: Broadcast sides have at most so many keys of 16 bytes; beyond, a shuffle or several passes.
 BROADCAST_ROWS = 1_000_000
-BLOCK = 8192
 
 _RNG = np.random.default_rng(20240301)
 _PLACES = _RNG.integers(1, 1 << 63, (128, 256), dtype=np.uint64)
@@ -68,12 +67,12 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
 
 
 class Weights:
-    """Weight of a shingle: its count in the text times ln(1 + N/df) / ln(1 + CLIP), the latter within [FLOOR, 1]."""
+    """TF-IDF: a shingle's count in the text times ln(1 + N/df), as a part of the largest weight, ln(1 + min(N, CLIP))."""
 
     def __init__(self, n_docs: int, common: dict[int, int]):
         self.keys = np.array(sorted(common), np.uint64)
-        idf = [math.log(1 + n_docs / common[k]) / math.log(1 + CLIP) for k in sorted(common)]
-        self.idf = np.clip(np.array(idf, np.float32), FLOOR, 1)
+        df = np.array([common[k] for k in sorted(common)], np.float64)
+        self.idf = (np.log1p(n_docs / df) / np.log1p(max(1, min(n_docs, CLIP)))).astype(np.float32) if len(df) else np.empty(0, np.float32)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(distinct shingles in order of their hashes, weights)."""
@@ -137,45 +136,79 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return both / every if every else 0.0
 
 
+def summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct h in order, sums of their n)."""
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate((h[:1] == h[:1], h[1:] != h[:-1])))
+    return h[first], np.add.reduceat(n, first) if len(first) else n
+
+
+class Tally:
+    """Document frequencies by lossy counting: after each STEP documents all counts fall by one, and what reaches zero is forgotten.
+
+    A count is at most documents / STEP too low, so a shingle in one of CLIP documents is never lost, and what is held stays near
+    STEP times the mean number of shingles, however many documents there are.
+    """
+
+    STEP = 2 * CLIP
+
+    def __init__(self):
+        self.h, self.n, self.docs = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+        self.new: list[np.ndarray] = []
+        self.size = 0
+
+    def merge(self) -> None:
+        h = np.concatenate([self.h, *self.new])
+        self.h, self.n = summed(h, np.concatenate([self.n, np.ones(len(h) - len(self.n), np.int64)]))
+        self.new, self.size = [], 0
+
+    def add(self, h: np.ndarray) -> None:
+        """The distinct shingles of one document."""
+        self.new.append(h)
+        self.size += len(h)
+        self.docs += 1
+        if self.docs % self.STEP == 0:
+            self.merge()
+            kept = self.n > 1
+            self.h, self.n = self.h[kept], self.n[kept] - 1
+        elif self.size >= 1_000_000:
+            self.merge()
+
+
 def common_shingles(texts: DataFrame) -> Weights:
     """Document frequencies, over all rows, of the shingles that at least one of CLIP documents holds.
 
-    Such a shingle is as common in at least one block of documents. One pass gathers what is common in any block, a second counts just
-    that everywhere, so the frequencies are exact and don't depend on the blocks. There are at most CLIP times the mean number of shingles.
+    One pass tallies each partition with a bounded loss; shingles whose tallies add up to half of what is asked for are candidates, at most 2 * CLIP
+    times the mean number of shingles, whatever the number of documents. A second pass counts just these everywhere, so the
+    frequencies are exact and don't depend on how rows are dealt to partitions.
     """
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        held: list[np.ndarray] = []
-        size = 0
+    def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = Tally()
         for b in batches:
-            for t in b["text"]:
-                held.append(np.unique(shingles(t.as_py())))
-                size += len(held[-1])
-                if len(held) >= BLOCK or size >= 4_000_000 and len(held) >= 4 * CLIP:
-                    yield held
-                    held, size = [], 0
-        if held:
-            yield held
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in blocks(batches):
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            h = h[n >= max(1, math.ceil(len(held) / CLIP))]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+            for x in b["text"]:
+                t.add(np.unique(shingles(x.as_py())))
+        t.merge()
+        for a in range(0, len(t.h), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(t.h[a : a + 100_000].view(np.int64)), pa.array(t.n[a : a + 100_000])], ["h", "n"])
 
     n_docs = texts.count()
-    found = materialize(texts.mapInArrow(local, "h long").distinct())
+    # A true count of n_docs / CLIP has lost at most n_docs / STEP, half of it.
+    found = materialize(texts.mapInArrow(tallied, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * Tally.STEP >= n_docs).select("h"))
     n_found = found.count()
     counts: dict[int, int] = {}
     parts = -(-n_found // BROADCAST_ROWS)
     for p in range(parts):
-        keys = np.sort(np.array([r.h for r in found.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == p).toLocalIterator()], np.int64).view(np.uint64))
+        some = found.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == p).toArrow()["h"]
+        keys = np.sort(np.array(some, np.int64).view(np.uint64))
         sent = texts.sparkSession.sparkContext.broadcast(keys)
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.zeros(len(sent.value), np.int64)  # noqa: B023
-            for held in blocks(batches):
-                for h in held:
+            for b in batches:
+                for x in b["text"]:
+                    h = np.unique(shingles(x.as_py()))
                     at = np.searchsorted(sent.value, h)  # noqa: B023
                     at[at == len(n)] = 0
                     n[at[sent.value[at] == h]] += 1  # noqa: B023
@@ -183,8 +216,9 @@ def common_shingles(texts: DataFrame) -> Weights:
             yield pa.RecordBatch.from_arrays([pa.array(sent.value[some].view(np.int64)), pa.array(n[some])], ["h", "n"])  # noqa: B023
 
         if len(keys):
-            heavy = texts.mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * CLIP >= n_docs)
-            counts |= {int(np.int64(r.h).view(np.uint64)): r.n for r in heavy.collect()}
+            heavy = texts.mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * CLIP >= n_docs).toArrow()
+            counts |= dict(zip(np.array(heavy["h"], np.int64).view(np.uint64).tolist(), heavy["n"].to_pylist(), strict=True))
+    discard(found)
     return Weights(n_docs, counts)
 
 
@@ -225,8 +259,7 @@ def agreement(a: str, b: str) -> Column:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """The pairs (a, b) of text keys whose weighted Jaccard similarity is at least least, from the whole texts."""
-    pairs = materialize(pairs)
+    """The written pairs (a, b) of text keys whose weighted Jaccard similarity is at least least, from the whole texts."""
     wanted = materialize(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct())
     few = wanted.count() <= BROADCAST_ROWS
     picked = texts.join(F.broadcast(wanted) if few else wanted, "t", "left_semi")
@@ -245,7 +278,9 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float) -
                 keep.append(similarity(x, sent.value.of(tb.as_py())) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"))
+    out = materialize(both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"))
+    discard(wanted, picked)
+    return out
 
 
 def residual_links(left: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
@@ -291,7 +326,9 @@ def residual_links(left: DataFrame, texts: DataFrame, weights: Weights, least: f
                 out.append((keys[i], keys[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return materialize(rows.groupBy("k", "i", "j").applyInPandas(compare, "a binary, b binary"))
+    out = materialize(rows.groupBy("k", "i", "j").applyInPandas(compare, "a binary, b binary"))
+    discard(some, wanted)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -304,8 +341,10 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("v").alias("to"), F.col("root").alias("up"))
         new = materialize(step.join(up, "to", "left").select("v", F.least("to", F.coalesce("up", "to")).alias("root"), "was"))
         changed = new.where("root != was").limit(1).count()
+        discard(labels)
         labels = new.select("v", "root")
         if not changed:
+            discard(both)
             return labels.withColumnRenamed("v", "t")
 
 
@@ -331,7 +370,10 @@ def classes_of(texts: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
     known = slim.join(found, "t", "left").select("t", "codes", F.coalesce("root", "t").alias("root"), F.explode("bands").alias("k"))
     mixed = known.groupBy("k", splittable("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("k")
     left = materialize(known.join(mixed, "k"))
-    return components(edges.union(residual_links(left, texts, weights, least)))
+    more = residual_links(left, texts, weights, least)
+    out = components(edges.union(more))
+    discard(slim, tried, edges, found, left, more)
+    return out
 
 
 def keyed(docs: DataFrame, text: str) -> DataFrame:

@@ -15,8 +15,6 @@ from .tokens import counts, ids_of, pack, unpack
 
 BITS = 17
 LOW, HIGH = 3, 5
-#: A word that repeats the one before counts as much as the n-grams of some words.
-REPEAT = 30
 MADE = ("score", "predicted")
 
 
@@ -26,7 +24,7 @@ def held_out(key: str):
 
 
 def ids_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    return counts((text or "").encode("utf-8", "replace"), LOW, HIGH, BITS, REPEAT)
+    return counts((text or "").encode("utf-8", "replace"), LOW, HIGH, BITS, True)
 
 
 class Sample:
@@ -118,9 +116,9 @@ def score(docs: DataFrame, model, *, text: str = "text", threshold: float = 0.7,
 
     def logit(v: np.ndarray, text: str | None) -> float:
         total, n = 0.0, 0
-        for ids, weight in ids_of((text or "").encode("utf-8", "replace"), LOW, HIGH, BITS, REPEAT):
-            total += weight * float(v[ids].sum(dtype=np.float64))
-            n += weight * len(ids)
+        for ids in ids_of((text or "").encode("utf-8", "replace"), LOW, HIGH, BITS, True):
+            total += float(v[ids].sum(dtype=np.float64))
+            n += len(ids)
         return total / n + bias if n else bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,16 +15,16 @@ _PLACES[:, 32] = 0
 _ODD = (_RNG.integers(1, 1 << 31, 8, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
 
-def pieces(data: bytes) -> Iterator[np.ndarray]:
-    """data, its words parted by single blanks and with a blank at either end, in pieces of about PIECE bytes, cut at blanks where there are any."""
+def pieces(data: bytes, over: int = 0) -> Iterator[tuple[np.ndarray, int]]:
+    """(bytes, own): data, its words parted by single blanks and with a blank at either end, in pieces of PIECE bytes or a little more, cut behind blanks.
+
+    The first own bytes are the piece; up to over bytes of the next follow, so that no n-gram is lost between them.
+    """
     data = b" " + b" ".join(data.split()) + b" "
     at = 0
     while at < len(data):
-        end = min(len(data), at + PIECE)
-        if end < len(data):
-            blank = data.rfind(b" ", at + 1, end)
-            end = blank + 1 if blank > at else end
-        yield np.frombuffer(data, np.uint8, end - at, at)
+        end = data.find(b" ", min(len(data), at + PIECE) - 1) + 1
+        yield np.frombuffer(data, np.uint8, min(len(data), end + over) - at, at), end - at
         at = end
 
 
@@ -46,8 +46,8 @@ def word_hashes(a: np.ndarray) -> np.ndarray:
     return np.add.reduceat(_PLACES[place & 31, a[starts[0] :]], starts - starts[0], dtype=np.uint32)
 
 
-def gram_ids(a: np.ndarray, low: int, high: int, bits: int) -> Iterator[np.ndarray]:
-    """Hashed ids of the byte n-grams from low to high."""
+def gram_ids(a: np.ndarray, own: int, low: int, high: int, bits: int) -> Iterator[np.ndarray]:
+    """Hashed ids of the byte n-grams from low to high that begin in the first own bytes."""
     x = a.astype(np.uint32)
     h = np.zeros(len(x), np.uint32)
     for n in range(high):
@@ -55,26 +55,31 @@ def gram_ids(a: np.ndarray, low: int, high: int, bits: int) -> Iterator[np.ndarr
             return
         h = h[: len(x) - n] + x[n:] * _ODD[n]
         if n + 1 >= low:
-            yield _mixed(h, n + 1, bits)
-
-
-def ids_of(data: bytes, low: int, high: int, bits: int, repeat_weight: int = 0) -> Iterator[tuple[np.ndarray, int]]:
-    """(ids, weight): words, n-grams and, with weight repeat_weight, id 0 for each word that repeats the one before."""
-    for a in pieces(data):
-        for ids in gram_ids(a, low, high, bits):
-            yield ids, 1
-        w = word_hashes(a)
+            yield _mixed(h[:own], n + 1, bits)
+
+
+def ids_of(data: bytes, low: int, high: int, bits: int, pairs: bool = False) -> Iterator[np.ndarray]:
+    """Ids of words, of n-grams of bytes and, with pairs, of words that follow themselves: all those pairs back off to one n-gram of words, id 0,
+    which nothing else has.
+    """
+    last = np.empty(0, np.uint32)
+    for a, own in pieces(data, high - 1):
+        for ids in gram_ids(a, own, low, high, bits):
+            yield np.maximum(ids, 1)
+        w = word_hashes(a[:own])
         if len(w):
-            yield _mixed(w, 0, bits), 1
-        if repeat_weight and len(w) > 1 and (same := int((w[1:] == w[:-1]).sum())):
-            yield np.zeros(same, np.uint32), repeat_weight
+            yield np.maximum(_mixed(w, 0, bits), 1)
+        w = np.concatenate([last, w])
+        last = w[-1:]
+        if pairs and (same := int((w[1:] == w[:-1]).sum())):
+            yield np.zeros(same, np.uint32)
 
 
-def counts(data: bytes, low: int, high: int, bits: int, repeat_weight: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def counts(data: bytes, low: int, high: int, bits: int, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(ids, counts): the hashed ids of a text, ascending, and how often each occurs."""
     n = np.zeros(1 << bits)
-    for ids, weight in ids_of(data, low, high, bits, repeat_weight):
-        n += weight * np.bincount(ids, minlength=1 << bits)
+    for ids in ids_of(data, low, high, bits, pairs):
+        n += np.bincount(ids, minlength=1 << bits)
     own = np.flatnonzero(n)
     return own.astype(np.int32), n[own].astype(np.int64)
 

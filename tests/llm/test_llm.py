@@ -149,7 +149,7 @@ def test_near_duplicates(spark, odd):
     for _, t in texts:
         for h in set(neardup.shingles(t).tolist()):
             df[h] = df.get(h, 0) + 1
-    w = neardup.Weights(len(texts), {h: n for h, n in df.items() if n * neardup.CLIP >= len(texts)})
+    w = neardup.Weights(len(texts), df)
     sets, up = [w.of(t) for _, t in texts], {i: i for i, _ in texts}
     for _ in texts:
         for a, (i, _) in enumerate(texts):
@@ -162,15 +162,16 @@ def test_near_duplicates(spark, odd):
 
 
 def test_a_pair_that_shares_a_band_is_compared_exactly(spark):
-    rng, w = random.Random(21), neardup.Weights(1, {})
+    rng = random.Random(21)
     texts = [(i, words(rng, 20)) for i in range(400)]
     pairs = []
     while len(pairs) < 4:  # similar pairs that share a band, though few of their samples agree
         a = words(rng, 186).split()
         b = a[:]
-        for k in range(4):
+        for k in range(3):
             b[20 + 45 * k] = "edited"
         a, b = " ".join(a), " ".join(b)
+        w = neardup.Weights(408, dict.fromkeys(set(neardup.shingles(a).tolist()) & set(neardup.shingles(b).tolist()), 2))
         x, y = w.of(a), w.of(b)
         same = neardup.samples(*x) == neardup.samples(*y)
         if neardup.similarity(x, y) >= neardup.SIMILARITY and same.reshape(neardup.BANDS, neardup.ROWS).all(1).any() and same.mean() < 0.65:
@@ -247,3 +248,55 @@ def test_sharding_uses_all_links(spark):
         hubs.setdefault(h, []).append(i)
     cut = {k: np.mean([got[a] != got[b] for h, x in hubs.items() if h[0] == k for a in x for b in x if a < b]) for k in "az"}
     assert cut["a"] == 0 and cut["z"] < 0.6  # with first hubs alone 0.79
+
+
+def test_document_frequencies_are_exact(spark, monkeypatch):
+    """The shingles of at least one of CLIP documents, with their exact frequencies, however the rows lie."""
+    rng = random.Random(41)
+    common = [words(rng, 5) for _ in range(40)]
+    texts = [" ".join([words(rng, 12), *rng.sample(common, rng.randrange(4))]) for _ in range(3000)]
+    df = {}
+    for t in texts:
+        for h in set(neardup.shingles(t).tolist()):
+            df[h] = df.get(h, 0) + 1
+    monkeypatch.setattr(neardup, "CLIP", 100)
+    monkeypatch.setattr(neardup.Tally, "STEP", 200)
+    for parts in (1, 7):
+        w = neardup.common_shingles(spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts))
+        want = {h: n for h, n in df.items() if n * 100 >= 3000}
+        assert len(want) >= 40 and w.keys.tolist() == sorted(want)
+        assert np.allclose(w.idf, [np.log1p(3000 / want[h]) / np.log1p(100) for h in sorted(want)])
+    t = neardup.Tally()
+    for i in range(2000):
+        t.add(np.array([i, 7], np.uint64) if i != 7 else np.array([7], np.uint64))
+    t.merge()
+    assert len(t.h) < 2 * t.STEP and dict(zip(t.h.tolist(), t.n.tolist(), strict=True))[7] >= 2000 - 2000 // t.STEP
+
+
+def test_quality_on_the_tables(spark):
+    """Held-out accuracy on the tables, and scores that come from whole texts."""
+    folder = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality.fit(d, labels)
+    got = quality.score(d, model, keep=["doc_id"]).join(labels, "doc_id").where(quality.held_out("doc_id"))
+    assert got.count() > 60 and got.where("predicted = quality").count() >= 0.95 * got.count()
+    text = words(random.Random(3), 400_000)  # over two pieces
+    values, bias = model
+    ids, n = quality.ids_counts(text)
+    z = float((values[ids] * (n / n.sum())).sum()) + bias
+    one = quality.score(spark.createDataFrame([(text,)], "text string"), model).first()
+    assert abs(one.score - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_pieces_lose_no_ngram(monkeypatch):
+    from lectern.llm import tokens
+
+    data = words(random.Random(8), 500).encode() + b" same same " + b"y" * 700
+    whole = tokens.counts(data, 2, 4, 12, True)
+    monkeypatch.setattr(tokens, "PIECE", 64)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, tokens.counts(data, 2, 4, 12, True), strict=True))
+
+
+def test_language_needs_a_letter(spark, docs):
+    rows = spark.createDataFrame([(1, "½ ² ③ 12"), (2, "é")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.identify(rows, langid.fit(docs)).orderBy("doc_id").collect()] == [True, False]

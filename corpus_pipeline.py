@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +11,18 @@ from lectern.llm import decontam, mixing, neardup, quality, sharding
 from lectern.llm.common import materialize
 
 
+def aside(docs: DataFrame, made: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with the columns that an operator's results (made) would replace under other names, and what gives a result docs' columns back."""
+    names = {m.lower() for m in made}
+    held = {c: f"_held_{i}" if c.lower() in names else c for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(h) for c, h in held.items()]), lambda out: out.select(*[F.col(f"`{h}`").alias(c) for c, h in held.items()])
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs.withColumn("_text", F.col("text")), model, text="_text")
-    return scored.where("predicted = 1").select(*docs.columns)
+    own, back = aside(docs, quality.MADE)
+    return back(quality.score(own, model).where("predicted = 1"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,20 +32,20 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
-    return found.where("not contaminated").select(*docs.columns)
+    own, back = aside(docs, decontam.MADE)
+    return back(decontam.decontaminate(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, sorted by training position; one taken twice comes twice, each time at its own position."""
-    mixed = mixing.mix(docs, keep=docs.columns).where("taken > 0")
-    repeated = mixed.withColumn("position", F.explode("positions"))
-    return mixing.by_position(repeated).select(*docs.columns)
+    own, back = aside(docs, mixing.MADE)
+    repeated = mixing.mix(own).where("taken > 0").withColumn("position", F.explode("positions"))
+    return back(mixing.by_position(repeated))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's shard and place in it; equal texts stay together."""
-    return sharding.shard_documents(docs, keep=["lang", "source", "n_chars"])
+    """Every document's shard and place in it; equal texts stay together. Columns named like these results are replaced."""
+    return sharding.shard_documents(docs, keep=[c for c in docs.columns if c != "text"])
 
 
 #: The stages, in order. Each takes (spark, docs, sf_dir).
@@ -50,7 +57,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", shard),
 ]
 
-#: The classifier, the sampling hashes and label propagation have no SQL form; the stages are tested against brute force.
+#: The classifier, the sampling hashes and label propagation have no SQL form; tests/llm compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -63,15 +63,16 @@ def gathered(made: DataFrame, label: str = "y") -> Sample:
     return Sample(t["packed"].to_pylist(), t[label].to_pylist())
 
 
-def train(rows: Sample | list[tuple[np.ndarray, np.ndarray, int]], *, dim: int = 16, epochs: int = 6, rate: float = 0.8, seed: int = 7) -> tuple[np.ndarray, float, float]:
+def train(rows: Sample | list[tuple[np.ndarray, np.ndarray, int]], *, dim: int = 16, steps: int = 18_000, rate: float = 0.8, seed: int = 7) -> tuple[np.ndarray, float, float]:
     """(value of each bucket, bias, score of an unknown text) by stochastic gradient descent on (ids, weights, label).
 
     A document's vector is the weighted mean of its ids' embeddings; softmax over two outputs. As both are linear, an id's
-    share in the difference of the outputs is all that scoring needs.
+    share in the difference of the outputs is all that scoring needs. The sample is gone through until steps are made, six times at least.
     """
     rng = np.random.default_rng(seed)
     e = ((rng.random((1 << BITS, dim)) - 0.5) / dim).astype(np.float32)
     w, b = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
+    epochs = max(6, -(-steps // max(1, len(rows))))
     steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):

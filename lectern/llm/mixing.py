@@ -66,7 +66,7 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     slopes: tuple[float, ...] = (-0.5, 0.0, 0.5),
-    rows_per_bucket: int = 1000,
+    rows_per_bucket: int = 250,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """docs with size, source_size, target, taken (words the mix takes, repeats counted), position (of the first take, in millionths of the training time) and positions (of each take).

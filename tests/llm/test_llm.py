@@ -300,3 +300,78 @@ def test_pieces_lose_no_ngram(monkeypatch):
 def test_language_needs_a_letter(spark, docs):
     rows = spark.createDataFrame([(1, "½ ² ③ 12"), (2, "é")], "doc_id long, text string")
     assert [r.lang_pred == "und" for r in langid.identify(rows, langid.fit(docs)).orderBy("doc_id").collect()] == [True, False]
+
+
+def article(i, rng, extra=""):
+    return f"<h1>Title {words(rng, 3)}</h1>" + "".join(f"<p>{words(rng, 30)} {i}</p>" for _ in range(rng.randrange(2, 6))) + extra
+
+
+def test_templates_equal_brute_force(spark):
+    """Explicit occurrence vectors and classes, against the exclusive-or of hashes."""
+    rng = random.Random(51)
+    rows = []
+    for h in range(4):
+        for i in range(7 if h else 2):
+            menu = "".join(f"<div class=x7><a href=/{k}>{k} of host {h}</a></div>" for k in ("news", "sport", "people"))
+            ad = f"<div class='ad'>{words(rng, 6)}</div>" if rng.random() < 0.6 else ""
+            tail = "<p>Write to us</p><p>Call us</p>" if i % 2 == 0 else ""
+            rows.append((len(rows), f"http://h{h}.org/{i}", f"<html><body><div class=k1>{menu}</div>{ad}<div class=q>{article(i, rng, tail)}</div><ul class=z{i}><li><a>{words(rng, 2)}</a></ul><div>bottom {h}</div>"))
+    rows += [(100 + r[0], r[1], r[2]) for r in rows[:9]]  # copies count once
+    got = {(r.host, r.token): r.kind for r in html.templates(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html").collect()}
+    want, hosts = {}, {}
+    for _, u, x in rows:
+        p = html.Profile(list(html.walk(x)))
+        hosts.setdefault(html.host_of(u), {})[p.ident] = p
+    for h, pages in hosts.items():
+        ids = sorted(pages)
+        elements = {k for p in pages.values() for k in p.elements}
+        texts = {k: v[1:] for p in pages.values() for k, v in p.texts.items()}
+        vector = {k: tuple(pages[i].elements.get(k, [0])[0] for i in ids) for k in elements} | {k: tuple(pages[i].texts.get(k, [0])[0] for i in ids) for k in texts}
+        on = {k: sum(map(bool, v)) for k, v in vector.items()}
+        for k, (up, inside) in texts.items():
+            own = [x for x, (u, _) in texts.items() if vector[x] == vector[k] and vector[u] == vector[up]]
+            tags = 2 * (vector[up] == vector[k] or not inside and vector[0] == vector[k])
+            if on[k] >= max(3, 0.5 * len(ids)) and len(own) + tags >= 2:
+                want[h, k] = html.TEXT
+        for k in elements - {0}:
+            if on[k] < 3:
+                continue
+            bits = max(p.elements[k][2] for p in pages.values() if k in p.elements)
+            chars, links, art = (sum(p.elements[k][j] for p in pages.values() if k in p.elements) for j in (3, 4, 5))
+            every = sum(p.elements[0][3] for p in pages.values())
+            most = chars * 2 > every
+            out = not art and not most and (bits & (html.SEMANTIC | html.MARKED) or links and links >= html.MENU * chars)
+            if out or bits & (html.SEMANTIC | html.MARKED | html.LIST):
+                want[h, k] = html.OUT if out else html.KEPT
+    assert got == want and {html.TEXT, html.OUT} <= set(got.values()) and not any(h == "h0.org" for h, _ in got)
+
+
+def test_slots_decide_what_names_do_not_tell(spark):
+    """Same-host pages whose menus, adverts and footers carry no telling names; and article text that names must not cost."""
+    rng = random.Random(52)
+    rows, want = [], {}
+    for i in range(6):
+        body = [f"Title {words(rng, 3)}", *(f"{words(rng, 30)} {i}" for _ in range(3 + i % 3))]
+        menu = "".join(f"<div class=x7><a href=/{k}>{words(rng, 1) if k == 2 else 'Entry ' + str(k)}</a></div>" for k in range(5))
+        main = f"<h1>{body[0]}</h1>" + "".join(f"<p>{b}</p>" for b in body[1:])
+        rows.append((i, f"http://a.org/{i}", f"<html><head><title>t</title></head><body><div class=k1>{menu}</div><div class=q><p>{'All rights are with the publisher of this page. ' * 20}</p>{main}</div><div>The same last words</div>"))
+        want[i] = "\n".join(body)
+    keep = {
+        10: ("<article><p title='the hidden cost'>a</p><p aria-hidden=false>b</p><p data-id=ad>c</p><section class='share prices'>d</section><section class=legal-history>e</section></article>", "a\nb\nc\nd\ne"),
+        11: ("<body><p>see <a>a long reference to a page</a></p><p>other words</p>", "see a long reference to a page\nother words"),
+        12: ("<article><p>x <math><mi>y</mi></math> <object>z</object> <noscript>w</noscript></article>", "x y z w"),
+        13: ("<article class='post comments-open'><p>one</p></article>", "one"),
+        14: ("<div class='content no-sidebar'><p>two</p></div>", "two"),
+        15: ("<div id=related-work><p>three</p></div>", "three"),
+        16: ("<div class=widget><p>all text of the page</p></div><div class=ad>buy</div>", "all text of the page"),
+        17: ("<form><div><article><p>four</article></div></form><div class=comments>nice</div>", "four"),
+        18: ("<article><p>five</p><div class='user-comments'>nice</div><footer>by me</footer></article><aside><article>six</article></aside>", "five"),
+    }
+    rows += [(k, "http://b.org/" if k % 2 else None, x) for k, (x, _) in keep.items()]
+    want |= {k: t for k, (_, t) in keep.items()}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_chars", F.lit("clash"))
+    for size in (500_000, 0):  # templates broadcast, and joined
+        got = {r.page_id: r.text for r in html.extract(pages, broadcast_tokens=size).collect()}
+        assert got == want
+    odd = spark.createDataFrame([(1, "http://a.org", "<p>" + "x " * 300_000), (2, None, ""), (2, None, "")], pages.select("page_id", "url", "html").schema)
+    assert sorted(r.n_chars for r in html.extract(odd).collect()) == [0, 0, 599_999] and html.extract(odd.limit(0)).count() == 0

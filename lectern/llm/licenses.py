@@ -15,10 +15,9 @@ from .common import WORD_PATTERN, clear_of
 from .neardup import shingles
 
 CONTAINMENT = 0.8
-#: Bands of one row each. A window is at most four times a template's shingles (see levels), so with a template of which CONTAINMENT is there
-#: its similarity is at least 0.8 / (4 + 0.2) = 0.19, and 1 - 0.81^48 = 0.99996 of such windows share a band.
+#: Bands of one row each. A window has less than four times a template's shingles (see level_of), so with a template of which CONTAINMENT is there
+#: its similarity is at least 0.8 / (4 + 0.2) = 0.19, and 1 - 0.81^48 = 0.99996 of such windows share a band; for templates of one shingle it is 1/2.
 BANDS = 48
-BASE = 4
 
 _RNG = np.random.default_rng(20240302)
 _A = (_RNG.integers(1, 1 << 31, BANDS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -48,6 +47,48 @@ TEMPLATES = {
     "cc-by-nc-notice": "Licensed under CC BY-NC",
     "cc-by-sa-notice": "Licensed under CC BY-SA",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License",
+    "mpl-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/."
+    ),
+    "mit-license": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal "
+        "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this "
+        "permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR "
+        "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT "
+        "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+        "THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "isc-license": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+        "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "bsd-2-license": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source "
+        "code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    ),
+    "zlib-license": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+        "restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."
+    ),
+    "lgpl-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "agpl-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version."
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+        "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
 }
 
 MADE = {
@@ -66,11 +107,8 @@ def permuted(h: np.ndarray) -> np.ndarray:
 
 
 def level_of(n: int) -> int:
-    """The level whose blocks hold at least n shingles: windows of two blocks hold any n in a row, and are at most four times as long for n > BASE / 2."""
-    level = 0
-    while BASE << level < n:
-        level += 1
-    return level
+    """The level whose blocks of 2^level hold at least n shingles: windows of two blocks hold any n in a row, and have less than 4n."""
+    return (n - 1).bit_length()
 
 
 class Templates:
@@ -92,8 +130,7 @@ class Templates:
         if not len(h) or not self.levels:
             return []
         out: list[tuple[str, float, int, int]] = []
-        starts = np.arange(0, len(h), BASE)
-        mins, span = np.minimum.reduceat(permuted(h), starts, axis=1), BASE
+        mins, span = permuted(h), 1
         for level in range(max(self.levels) + 1):
             if level:
                 n = mins.shape[1] // 2 * 2
@@ -129,7 +166,7 @@ def scan(docs: DataFrame, *, text: str = "text", templates: dict[str, str] | Non
     known = templates if templates is not None else TEMPLATES
     kept = [c for c in (keep or docs.columns) if c.lower() not in MADE]
     sent = docs.sparkSession.sparkContext.broadcast(Templates(known))
-    overlap = 8 * BASE << max([level_of(n) for n in sent.value.lengths.values()], default=0)
+    overlap = 4 << max([level_of(n) for n in sent.value.lengths.values()], default=0)
 
     def found(h: np.ndarray) -> list[tuple[str, float, int, int]]:
         out: dict[tuple[str, int], tuple[str, float, int, int]] = {}

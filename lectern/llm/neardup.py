@@ -136,31 +136,34 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return both / every if every else 0.0
 
 
-def summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct h in order, sums of their n)."""
-    order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
-    first = np.flatnonzero(np.concatenate((h[:1] == h[:1], h[1:] != h[:-1])))
-    return h[first], np.add.reduceat(n, first) if len(first) else n
-
-
 class Tally:
     """Document frequencies by lossy counting: after each STEP documents all counts fall by one, and what reaches zero is forgotten.
 
-    A count is at most documents / STEP too low, so a shingle in one of CLIP documents is never lost, and what is held stays near
-    STEP times the mean number of shingles, however many documents there are.
+    With finish(), a count is at most 2 * documents / STEP too low, which is half of what a shingle in one of CLIP documents has, and what is held
+    stays near STEP times the mean number of shingles, however many documents there are.
     """
 
-    STEP = 2 * CLIP
+    STEP = 4 * CLIP
 
     def __init__(self):
         self.h, self.n, self.docs = np.empty(0, np.uint64), np.empty(0, np.int64), 0
         self.new: list[np.ndarray] = []
         self.size = 0
 
-    def merge(self) -> None:
-        h = np.concatenate([self.h, *self.new])
-        self.h, self.n = summed(h, np.concatenate([self.n, np.ones(len(h) - len(self.n), np.int64)]))
+    def merge(self, loss: int) -> None:
+        """Adds the new documents' shingles, then lowers all counts by loss (0 or 1)."""
+        h = np.sort(np.concatenate([np.empty(0, np.uint64), *self.new]))
+        first = np.flatnonzero(np.concatenate((h[:1] == h[:1], h[1:] != h[:-1])))
+        h, n = h[first], np.diff(np.append(first, len(h)))
+        if len(h):
+            at = np.minimum(np.searchsorted(h, self.h), len(h) - 1)
+            known = h[at] == self.h
+            self.n[known] += n[at[known]]
+            n[at[known]] = 0
+        kept = n > loss
+        h, n = np.concatenate([self.h, h[kept]]), np.concatenate([self.n, n[kept]]) - loss
+        order = np.argsort(h)
+        self.h, self.n = h[order][n[order] > 0], n[order][n[order] > 0]
         self.new, self.size = [], 0
 
     def add(self, h: np.ndarray) -> None:
@@ -169,11 +172,12 @@ class Tally:
         self.size += len(h)
         self.docs += 1
         if self.docs % self.STEP == 0:
-            self.merge()
-            kept = self.n > 1
-            self.h, self.n = self.h[kept], self.n[kept] - 1
-        elif self.size >= 1_000_000:
-            self.merge()
+            self.merge(1)
+        elif self.size >= 4_000_000:
+            self.merge(0)
+
+    def finish(self) -> None:
+        self.merge(int(self.docs >= self.STEP))
 
 
 def common_shingles(texts: DataFrame) -> Weights:
@@ -189,13 +193,14 @@ def common_shingles(texts: DataFrame) -> Weights:
         for b in batches:
             for x in b["text"]:
                 t.add(np.unique(shingles(x.as_py())))
-        t.merge()
+        t.finish()
         for a in range(0, len(t.h), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(t.h[a : a + 100_000].view(np.int64)), pa.array(t.n[a : a + 100_000])], ["h", "n"])
 
     n_docs = texts.count()
-    # A true count of n_docs / CLIP has lost at most n_docs / STEP, half of it.
-    found = materialize(texts.mapInArrow(tallied, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * Tally.STEP >= n_docs).select("h"))
+    # Partitions of too few documents, which could forget nothing, are put together. A true count of n_docs / CLIP has lost half of it at most.
+    dealt = texts.coalesce(max(1, n_docs // (2 * Tally.STEP)))
+    found = materialize(dealt.mapInArrow(tallied, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * CLIP >= n_docs).select("h"))
     n_found = found.count()
     counts: dict[int, int] = {}
     parts = -(-n_found // BROADCAST_ROWS)

@@ -1,7 +1,7 @@
 """WARC archives as a chunked record table.
 
-A record's payload is never one value in Python: it travels as rows (record, chunk number, bytes), and the SHA-1 of all
-bytes so far goes along with the chunks. Archives are real .warc.gz files, a gzip member for each record, in the shared folder.
+A page is one value only where the table's scan makes it one. From there a record's payload travels as rows (record, chunk
+number, bytes), without a shuffle or sort of payloads, and the SHA-1 of all bytes so far goes along with the chunks. Archives are real .warc.gz files, a gzip member for each record, in the shared folder.
 """
 
 from __future__ import annotations
@@ -41,18 +41,23 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+#: Heads of repeated payloads are broadcast up to this number (60 bytes each); beyond, the payloads are shuffled to them.
+BROADCAST_ROWS = 1_000_000
+
+
 def roles(payloads: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """payloads (record_id, digest, bytes, ...) with refers_to: null for responses, else the response with an equal payload.
 
     Of equal payloads of at least min_bytes the largest record_id is the response; rows that repeat it are responses too, as
-    are those with null ids, which nothing refers to. Both sides of the join are shuffled for the join alone, so a digest
+    are those with null ids, which nothing refers to. Only digests are shuffled to find these heads. If there are few, they
+    are broadcast and no payload is moved; else both sides are shuffled for the join alone, so a digest
     that a third of all records share is split; short payloads each get a key of their own.
     """
-    long = payloads.where(F.col("bytes") >= min_bytes)
+    long = payloads.where(F.col("bytes") >= min_bytes).select("digest", "record_id")
     heads = long.groupBy("digest", splittable("digest")).agg(F.max("record_id").alias("head"), F.count("*").alias("n"))
-    heads = heads.where("n > 1").select(F.col("digest").alias("_key"), "head")
+    heads = materialize(heads.where("n > 1 and head is not null").select(F.col("digest").alias("_key"), "head"))
     own = F.when(F.col("bytes") >= min_bytes, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("record_id", "digest").cast("string")))
-    joined = payloads.withColumn("_own", own).join(heads, F.col("_own") == F.col("_key"), "left")
+    joined = payloads.withColumn("_own", own).join(F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads, F.col("_own") == F.col("_key"), "left")
     return joined.withColumn("refers_to", F.when(F.col("record_id") != F.col("head"), F.col("head"))).drop("_own", "_key", "head")
 
 
@@ -136,15 +141,17 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])
 
 
-def read_chunks(index: DataFrame, folder_of: str | None = None, *, with_data: bool = True, only_last: bool = False, chunk: int = CHUNK, span: int = 8 << 20) -> DataFrame:
+def read_chunks(index: DataFrame, folder_of: str | None = None, *, with_data: bool = True, only_last: bool = False, chunk: int = CHUNK, span: int = 2 << 20) -> DataFrame:
     """The records of the archives as rows (record, chunk_no, data) with the digest and the bytes of all chunks so far.
 
-    Stretches of about span bytes of an archive are dealt to the tasks, so a long archive is read by many. A record is
+    Stretches of about span packed bytes of the archives are dealt to the tasks, so a long archive is read by many. A record is
     inflated and hashed chunk by chunk; only_last returns its last row alone, whose running digest is the payload's.
     """
     some = index.sparkSession
     root_uri = folder_of or shared_dir(some)  # for the scheme alone
-    tasks = index.repartition(F.col("archive"), F.floor(F.col("offset") / span)).sortWithinPartitions("archive", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    # A number of tasks of its own, which adaptive execution doesn't lower: the index is tiny, what it points to is not.
+    tasks = index.repartitionByRange(max(1, -(-total // span)), "archive", "offset").sortWithinPartitions("archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = open_store(root_uri)

@@ -78,6 +78,7 @@ def offsets(sums: DataFrame, group: list[str], buckets: list[str], value: str, n
         b = b.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)], extra)
         return a.join(b, reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"_j{i}"]) for i, k in enumerate(keys)])).drop(*[f"_j{i}" for i in range(len(keys))])
 
+    sums = materialize(sums)  # few rows, read at each level
     out = sums.withColumn(name, F.lit(0))
     for i, bucket in enumerate(buckets):
         part = [*group, *buckets[:i]]

@@ -69,10 +69,11 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
 class Weights:
     """TF-IDF: a shingle's count in the text times ln(1 + N/df), as a part of the largest weight, ln(1 + min(N, CLIP))."""
 
-    def __init__(self, n_docs: int, common: dict[int, int]):
-        self.keys = np.array(sorted(common), np.uint64)
-        df = np.array([common[k] for k in sorted(common)], np.float64)
-        self.idf = (np.log1p(n_docs / df) / np.log1p(max(1, min(n_docs, CLIP)))).astype(np.float32) if len(df) else np.empty(0, np.float32)
+    def __init__(self, n_docs: int, h: np.ndarray, df: np.ndarray):
+        """h: shingles, df: their document frequencies; shingles that aren't among them have the largest weight."""
+        order = np.argsort(h)
+        self.keys = np.asarray(h, np.uint64)[order]
+        self.idf = (np.log1p(n_docs / np.maximum(1, np.asarray(df, np.float64)[order])) / np.log1p(max(1, min(n_docs, CLIP)))).astype(np.float32)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(distinct shingles in order of their hashes, weights)."""
@@ -198,15 +199,16 @@ def common_shingles(texts: DataFrame) -> Weights:
             yield pa.RecordBatch.from_arrays([pa.array(t.h[a : a + 100_000].view(np.int64)), pa.array(t.n[a : a + 100_000])], ["h", "n"])
 
     n_docs = texts.count()
-    # Partitions of too few documents, which could forget nothing, are put together. A true count of n_docs / CLIP has lost half of it at most.
+    least = max(1.0, n_docs / CLIP)  # up to which a shingle has the largest weight, and need not be known
+    # Partitions of too few documents, which could forget nothing, are put together. Only such as hold STEP documents forget, at most 2 / STEP of them.
     dealt = texts.coalesce(max(1, n_docs // (2 * Tally.STEP)))
-    found = materialize(dealt.mapInArrow(tallied, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * CLIP >= n_docs).select("h"))
+    found = materialize(dealt.mapInArrow(tallied, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > least - 2 * n_docs // Tally.STEP).select("h"))
     n_found = found.count()
-    counts: dict[int, int] = {}
+    known: list[tuple[np.ndarray, np.ndarray]] = []
     parts = -(-n_found // BROADCAST_ROWS)
     for p in range(parts):
         some = found.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == p).toArrow()["h"]
-        keys = np.sort(np.array(some, np.int64).view(np.uint64))
+        keys = np.sort(some.to_numpy().view(np.uint64))
         sent = texts.sparkSession.sparkContext.broadcast(keys)
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +223,10 @@ def common_shingles(texts: DataFrame) -> Weights:
             yield pa.RecordBatch.from_arrays([pa.array(sent.value[some].view(np.int64)), pa.array(n[some])], ["h", "n"])  # noqa: B023
 
         if len(keys):
-            heavy = texts.mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * CLIP >= n_docs).toArrow()
-            counts |= dict(zip(np.array(heavy["h"], np.int64).view(np.uint64).tolist(), heavy["n"].to_pylist(), strict=True))
+            heavy = texts.mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > least).toArrow()
+            known.append((heavy["h"].to_numpy().view(np.uint64), heavy["n"].to_numpy()))
     discard(found)
-    return Weights(n_docs, counts)
+    return Weights(n_docs, *(np.concatenate([k[i] for k in known]) if known else np.empty(0, t) for i, t in enumerate((np.uint64, np.int64))))
 
 
 def sketch(texts: DataFrame, weights: Weights) -> DataFrame:

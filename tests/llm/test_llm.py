@@ -225,11 +225,74 @@ def test_takes_follow_the_schedule(spark, docs):
     assert twice
 
 
-def test_pipeline_keeps_one_of_each(spark):
+def test_pipeline_stages_equal_brute_force(spark, docs):
+    """Every stage on its own input: each against a plain version of it; extra columns named like results stay as they came."""
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, SF)
-    assert {"doc_id", "shard", "slot"} <= set(out.columns) and out.count() > 0
+    clash = ("score", "size", "n_words", "position", "spans", "class_id")
+    now = docs.withColumns({c: F.lit(-7) for c in clash})
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        own = now.select("doc_id", "text", "source").collect()
+        out = stage(spark, now, SF)
+        if name == "sharding":
+            rows = out.collect()
+            counts = [sum(r["shard"] == s for r in rows) for s in range(16)]
+            assert len(rows) == len(own) and max(counts) - min(counts) <= 1
+            assert sorted((r["shard"], r.slot) for r in rows) == [(s, i) for s in range(16) for i in range(counts[s])]
+            break
+        assert out.columns == now.columns
+        now = corpus_pipeline.materialize(out)
+        got = now.collect()
+        assert all(r[c] == -7 for r in got for c in clash)
+        kept = sorted(r.doc_id for r in got)
+        if name == "quality":
+            values, bias = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+            want = []
+            for r in own:
+                ids, n = quality.ids_counts(r.text)
+                if 1 / (1 + np.exp(-(float((values[ids] * (n / max(1, n.sum()))).sum()) + bias))) >= 0.7:
+                    want.append(r.doc_id)
+        elif name == "near-duplicates":
+            df = {}
+            for r in own:
+                for h in set(neardup.shingles(r.text).tolist()):
+                    df[h] = df.get(h, 0) + 1
+            w = neardup.Weights(len(own), np.array(list(df), np.uint64), np.array(list(df.values())))
+            sets, up = [w.of(r.text) for r in own], list(range(len(own)))
+            for i in range(len(own)):
+                for j in range(i):
+                    if own[i].text == own[j].text or neardup.similarity(sets[i], sets[j]) >= neardup.SIMILARITY:
+                        a, b = up[i], up[j]
+                        up = [b if x == a else x for x in up]
+            want = [min(own[i].doc_id for i in range(len(own)) if up[i] == c) for c in set(up)]
+        elif name == "decontamination":
+            want = [r[0] for r in decontam.brute_force([(r.doc_id, r.text) for r in own], items) if not r[5]]
+        else:
+            want = [r.doc_id for r in mixing.mix(spark.createDataFrame(own)).collect() for _ in r.positions or ()]
+        assert kept == sorted(want), name
+
+
+def test_pipeline_on_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    for now in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            out = stage(spark, now, SF)
+            assert name == "sharding" or out.columns == now.columns
+            n = out.count()
+            now = corpus_pipeline.materialize(out)
+            assert now.count() == n
+
+
+def test_kept_columns_may_clash(spark, docs):
+    """Documents' columns named like an operator's own, and like the names it uses inside."""
+    d = docs.withColumns({c: F.lit(3) for c in ("rid", "hub", "slot", "_file", "n")})
+    assert {"rid", "hub", "n"} <= set(sharding.shard_documents(d, keep=["rid", "hub", "n", "slot"]).columns)
+    got = mixing.mix(docs.withColumns({c: F.lit(3) for c in ("s", "b", "n", "target")}), keep=["doc_id", "text", "s", "b", "n"])
+    assert got.where("s = 3 and b = 3 and n = 3").count() == docs.count()
+    assert knn.top_k(spark.createDataFrame([(1, [1.0]), (50, [2.0])], "vec_id long, embedding array<double>").withColumns({"v": F.lit(1), "ids": F.lit(2)}), spark.createDataFrame([(50, [2.0])], "vec_id long, embedding array<double>")).count() == 1
+    assert decontam.decontaminate(docs.limit(0), spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
 
 
 def test_sharding_uses_all_links(spark):

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,3 +200,98 @@ def token_jaccard(a: Column, b: Column) -> Column:
     w = lambda s: F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit("([a-z0-9]{2,})"), 1))
     both, all_ = F.size(F.array_intersect(w(a), w(b))), F.size(F.array_union(w(a), w(b)))
     return F.when(all_ == 0, 0.0).otherwise(both / all_)
+
+
+def glob(pattern: str) -> str:
+    """SET-07: a path pattern with *, ? and [...] as a regular expression over the whole path."""
+    parts = [{"*": ".*", "?": "."}.get(p, p if p.startswith("[") else re.escape(p)) for p in re.split(r"(\*|\?|\[[^\]]*\])", pattern)]
+    return f"^{''.join(parts)}$"
+
+
+def valid_fix(context: Column, to: Column, allowed: str) -> Column:
+    """FLT-29: whether to changes nothing but the middle one of three characters, from one that is allowed to another."""
+    at = lambda s, i: F.substring(s, i, 1)
+    known = lambda c: F.contains(F.lit(allowed), c)
+    same = (at(context, 1) == at(to, 1)) & (at(context, 3) == at(to, 3)) & (at(context, 2) != at(to, 2))
+    return (F.length(context) == 3) & (F.length(to) == 3) & same & known(at(context, 2)) & known(at(to, 2))
+
+
+def converted(s: Column, table: dict[str, str]) -> Column:
+    """STR-F14: characters by a table of single ones."""
+    return F.translate(s, "".join(table), "".join(table.values()))
+
+
+def both_scripts(s: Column, table: dict[str, str]) -> Column:
+    """STR-F15: the text with the other form of its Han runs after it."""
+    runs = F.array_join(F.transform(F.regexp_extract_all(s, F.lit(f"({HAN}+)"), 1), lambda x: converted(x, table)), " ")
+    return F.when(runs == "", s).otherwise(F.concat(s, F.lit(" "), runs))
+
+
+def retargeted(path: Column, tree: str, *, trees: tuple[str, ...], kept: tuple[str, ...]) -> Column:
+    """STR-F18: an address from the root, in another tree: that of its own tree's prefix, or below the new one; protected prefixes stay."""
+    own = rf"^/({'|'.join(trees)})/"
+    safe = F.lit(False)
+    for k in kept:
+        safe = safe | F.startswith(path, F.lit(k))
+    return F.when(safe | ~F.startswith(path, F.lit("/")), path).when(path.rlike(own), F.regexp_replace(path, own, f"/{tree}/")).otherwise(F.concat(F.lit(f"/{tree}"), path))
+
+
+def english_source(quotes: Column, least: int = 5) -> Column:
+    """STR-F25: fewer than least Han characters over all quotes."""
+    return F.aggregate(quotes, F.lit(0), lambda n, q: n + F.regexp_count(q, F.lit(HAN))) < least
+
+
+def visible(html: Column, skip: tuple[str, ...]) -> Column:
+    """STR-F27: the text of a page outside comments and the skipped elements, white space squeezed."""
+    names = "|".join(skip)
+    s = F.regexp_replace(html, rf"(?is)<({names})\b.*?</({names})>", " ")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
+    return F.trim(F.regexp_replace(s, r"[ \t\r\n\f\x0b]+", " "))
+
+
+def magnitudes(s: Column) -> Column:
+    """STR-F31: whole millions and billions with the amount in Chinese scales after them (Arrow)."""
+    return _magnitudes(s)
+
+
+@F.pandas_udf(T.StringType())
+def _magnitudes(s: pd.Series) -> pd.Series:
+    scales = {"million": ("万", 100), "billion": ("亿", 10)}
+
+    def amount(m: re.Match) -> str:
+        name, times = scales[m[2].lower()]
+        return f"{m[0]} ({int(m[1].replace(',', '')) * times}{name})"
+
+    return s.map(lambda x: re.sub(r"\b(\d[\d,]*)\s+(million|billion)\b", amount, x, flags=re.I), na_action="ignore")
+
+
+def normal_rows(body: Column, fields: tuple[str, ...]) -> Column:
+    """ARR-01: the objects of a JSON array with something in them, their fields squeezed."""
+    cells = F.transform(F.from_json(body, "array<string>"), lambda r: F.from_json(r, "map<string,string>"))
+    squeeze = lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
+    rows = F.transform(cells, lambda m: F.struct(*[squeeze(F.try_element_at(m, F.lit(f))).alias(f) for f in fields]))
+    return F.filter(rows, lambda r: F.concat(*[r[f] for f in fields]) != "")
+
+
+def unwrapped(body: Column) -> Column:
+    """ARR-04: what a reply's envelope holds: `result`, or the text of `response`; anything else is the reply itself."""
+    return F.coalesce(F.get_json_object(body, "$.result"), F.get_json_object(body, "$.response.text"), body)
+
+
+def chapters(notes: DataFrame, key: str, body: str, seconds: str, *, least: int = 3, longest: int = 120) -> DataFrame:
+    """ARR-05: (key, t, label) of the lines `clock label` up to a minute beyond the end, the first label of each time; fewer than least are none."""
+    lines = notes.select(key, seconds, F.posexplode(F.split(body, "\n")).alias("pos", "line"))
+    pattern = r"^\s*((?:\d+:)?\d{1,2}:\d{2})\s+(\S.*)$"
+    rows = lines.select(key, seconds, "pos", parse_time(F.regexp_extract("line", pattern, 1)).alias("t"), F.substring(F.regexp_extract("line", pattern, 2), 1, longest).alias("label"))
+    rows = rows.where(F.col("t").isNotNull() & (F.col("label") != "") & (F.col("t") <= F.col(seconds) + 60))
+    once = rows.groupBy(key, "t").agg(F.min_by("label", "pos").alias("label"))
+    return once.join(once.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key), key, "left_semi")
+
+
+def shape_of(body: Column) -> Column:
+    """ARR-06: what a state file holds, by its keys: a heartbeat, a note, a flat map of numbers, or something else."""
+    keys = F.json_object_keys(body)
+    has = lambda *names: F.forall(F.array(*[F.lit(n) for n in names]), lambda n: F.array_contains(keys, n))
+    flat = F.forall(F.map_values(F.from_json(body, "map<string,string>")), lambda v: v.rlike(r"^-?\d+(\.\d+)?$"))
+    case = F.when(has("at", "line", "exit"), "heartbeat").when(has("note"), "note").when(F.coalesce(flat & keys.isNotNull(), F.lit(False)), "map")
+    return F.coalesce(case, F.lit("other"))

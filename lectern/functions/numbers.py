@@ -115,3 +115,13 @@ def _grounded_each(values: pd.Series, text: pd.Series) -> pd.Series:
 def numbers_in(values: Column, text: Column) -> Column:
     """NUM-01 of each of an array of values against one text."""
     return _grounded_each(values, text)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _rendered(x: pd.Series) -> pd.Series:
+    return x.map(renderings, na_action="ignore")
+
+
+def rendered(x: Column) -> Column:
+    """NUM-02: all forms in which a number may be spoken or written (Arrow)."""
+    return _rendered(x)

@@ -105,3 +105,9 @@ def quote_in(quote: Column, text: Column) -> Column:
 def gate_passes(score: Column, least: float, when_unknown: bool) -> Column:
     """FLT-16: a missing triage score passes, a missing review score doesn't."""
     return F.coalesce(score >= least, F.lit(when_unknown))
+
+
+def blob_hash(s: Column) -> Column:
+    """AUX-26: the hash under which a content store keeps a file."""
+    body = s.cast("binary")
+    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(body).cast("string"), F.lit("\x00")), "utf-8"), body))

@@ -122,3 +122,27 @@ def follow_up(before: DataFrame, now: DataFrame, key: str, today: Column, *, kee
         F.datediff(today, first).alias("age"),
     ).where(F.col("age") <= keep)
     return out.withColumn("red", first_reason([(F.col("lost") >= 2, "lost"), (F.col("age") > late, "late")]))
+
+
+def judged(*, feed_dead: Column, audio_only: Column, cloud_only: Column, untold: Column, stale: Column, n: Column, passed: Column, tries: Column, drafted: Column) -> Column:
+    """RUL-01: the first of eight findings on a source that holds; with fewer than four items none on their quality does."""
+    checks = [(feed_dead, "feed-dead"), (audio_only, "route"), (cloud_only, "cloud-only"), (untold, "no-transcript"), (stale, "stale"), (n < 4, None)]
+    checks += [(passed == 0, "never passed"), ((n >= 6) & (passed * 4 < n), "low pass rate"), ((tries >= 4) & (drafted * 100 < 34 * tries), "weak drafts")]
+    case = F.when(checks[0][0], F.lit(checks[0][1]))
+    for when, what in checks[1:]:
+        case = case.when(when, F.lit(what).cast("string"))
+    return case
+
+
+def all_or_nothing(proposals: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
+    """RUL-05: the accepted proposals, if every one that is accepted was proposed; else none."""
+    stray = accepted.join(proposals, key, "left_anti").limit(1).count()
+    return accepted.join(proposals, key, "left_semi").where(F.lit(not stray))
+
+
+def candidate_score(*, tier: Column, age: Column, official: Column, notes: Column, chapters: Column, minutes: Column, published: Column) -> Column:
+    """SRT-01: what a candidate is worth: its source's tier, less its age up to ten days, and what speaks for or against it."""
+    base = F.when(tier == 1, 100).when(tier == 2, 55).otherwise(25)
+    plus = lambda cond, n: F.when(cond, n).otherwise(0)
+    extra = plus(official, 30) + plus(notes > 20_000, 22) + plus(chapters, 8) + plus(minutes < 15, -12) + plus(minutes > 240, -6)
+    return (base - 4 * F.least(F.lit(10), age) + extra + F.greatest(F.lit(0), 60 - 12 * published)).cast("long")

@@ -80,14 +80,38 @@ def within(left: DataFrame, right: DataFrame, by: str, at: str, half: float) ->
     return a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a._b") == F.col("b._b")) & (F.abs(F.col(f"a.{at}") - F.col(f"b.{at}")) <= half))
 
 
-def related(tags: DataFrame, key: str, tag: str, *, low: int = 2, high: int = 60, top: int = 5) -> DataFrame:
-    """JOIN-20: peers by shared tags of moderate frequency, weight 1 / ln(df + 1.5); high bounds a tag's pairs."""
+def related(tags: DataFrame, key: str, tag: str, items: DataFrame, source: str, tie: Sequence[Column], *, low: int = 2, high: int = 60, top: int = 5, bonus: float = 0.15) -> DataFrame:
+    """JOIN-20: peers by shared tags of moderate frequency, weight 1 / ln(df + 1.5), and bonus for the same source; ties by the peer's rank (tie, over items).
+
+    high bounds a tag's pairs. A pair is made and summed up once, and mirrored afterwards.
+    """
     df = tags.groupBy(tag).agg(F.count("*").alias("df")).where(F.col("df").between(low, high))
     t = tags.join(df, tag).withColumn("w", 1 / F.log(F.col("df") + 1.5))
     a, b = t.alias("a"), t.alias("b")
-    pairs = a.join(b, (F.col(f"a.{tag}") == F.col(f"b.{tag}")) & (F.col(f"a.{key}") != F.col(f"b.{key}")))
-    scored = pairs.groupBy(F.col(f"a.{key}").alias(key), F.col(f"b.{key}").alias("peer")).agg(F.round(F.sum("a.w"), 6).alias("score"))
-    return newest_per(scored, key, [F.col("score").desc(), F.col("peer")], top, "rank")
+    pairs = a.join(b, (F.col(f"a.{tag}") == F.col(f"b.{tag}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
+    once = pairs.groupBy(F.col(f"a.{key}").alias("_a"), F.col(f"b.{key}").alias("_b")).agg(F.sum("a.w").alias("_w"))
+    both = once.select(F.explode(F.array(F.struct(F.col("_a").alias("k"), F.col("_b").alias("peer")), F.struct(F.col("_b").alias("k"), F.col("_a").alias("peer")))).alias("p"), "_w").select("p.*", "_w")
+    own = items.select(F.col(key).alias("k"), F.col(source).alias("_own"))
+    x = both.join(items.withColumnRenamed(key, "peer"), "peer").join(own, "k")
+    scored = x.withColumn("score", F.round(F.col("_w") + F.when(F.col(source) == F.col("_own"), bonus).otherwise(0.0), 6))
+    return newest_per(scored, "k", [F.col("score").desc(), *tie, F.col("peer")], top, "rank").select(F.col("k").alias(key), "peer", "score", "rank")
+
+
+def similar_names(names: DataFrame, name: str, words: str, *, least: float = 0.5, stop: Sequence[str] = ()) -> DataFrame:
+    """JOIN-08: pairs (x, y, jaccard) of names whose word sets overlap by least and share a word that isn't in stop.
+
+    Two such names share one of the rarest words of either, the first size - ceil(least * size) + 1 in the order of frequency; only these are joined on.
+    """
+    w = names.select(name, F.array_distinct(words).alias("ws"))
+    df = w.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    rows = w.select(name, F.explode("ws").alias("w")).join(df, "w").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
+    head = F.slice("r", F.lit(1), (F.size("r") - F.ceil(least * F.size("r")) + 1).cast("int"))
+    rows = rows.select(name, F.transform("r", lambda x: x["w"]).alias("ws"), F.explode(F.transform(head, lambda x: x["w"])).alias("w"))
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col(f"a.{name}") < F.col(f"b.{name}"))).select(F.col(f"a.{name}").alias("x"), F.col(f"b.{name}").alias("y"), F.col("a.ws").alias("p"), F.col("b.ws").alias("q")).dropDuplicates(["x", "y"])
+    shared = F.array_intersect("p", "q")
+    real = F.size(F.array_except(shared, F.array(*[F.lit(s) for s in stop]).cast("array<string>"))) > 0
+    return pairs.select("x", "y", (F.size(shared) / F.size(F.array_union("p", "q"))).alias("jaccard"), real.alias("_real")).where((F.col("jaccard") >= least) & F.col("_real")).drop("_real")
 
 
 def fill_up(df: DataFrame, group: str, order: Sequence[Column], size: str, budget: float) -> DataFrame:

@@ -150,10 +150,11 @@ def _(t):
 
 @query("join_06_duration_tolerance", "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND abs(a.p_retailprice - b.p_retailprice) <= least(90, greatest(40, CAST(trunc(a.p_retailprice * 0.01::DOUBLE) AS INTEGER)))")
 def _(t):
+    # The tolerance is 90 at most, so prices are dealt to buckets of that width and only neighbours meet.
     p = t("part").select("p_partkey", "p_brand", "p_retailprice")
-    a, b = p.alias("a"), p.alias("b")
-    on = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")) & (F.abs(F.col("a.p_retailprice") - F.col("b.p_retailprice")) <= X.seek_tolerance(F.col("a.p_retailprice")))
-    return a.join(b, on).select(F.col("a.p_partkey").alias("x"), F.col("b.p_partkey").alias("y"))
+    j = R.within(p, p, "p_brand", "p_retailprice", 90)
+    on = (F.col("a.p_partkey") < F.col("b.p_partkey")) & (F.abs(F.col("a.p_retailprice") - F.col("b.p_retailprice")) <= X.seek_tolerance(F.col("a.p_retailprice")))
+    return j.where(on).select(F.col("a.p_partkey").alias("x"), F.col("b.p_partkey").alias("y"))
 
 
 @query("join_10_window", "SELECT a.event_id AS citation, b.event_id AS segment FROM events a JOIN events b ON a.user_id = b.user_id AND abs(epoch(a.ts) - epoch(b.ts)) <= 45 WHERE a.event_type = 'purchase' AND b.event_type = 'view'")
@@ -169,11 +170,6 @@ def _(t):
     return R.as_of(left, e.where("event_type = 'view'").select("user_id", "ts", F.col("value").alias("last_view")), "user_id", "ts", "last_view").select("event_id", "last_view")
 
 
-@query("join_12_quotes", "SELECT conv_id, turn, contains(text, 'the') AND length('the') >= 3 AS found FROM conversations")
-def _(t):
-    return t("conversations").select("conv_id", "turn", F.contains("text", F.lit("the")).alias("found"))
-
-
 @query("join_16_merge", "SELECT coalesce(a.k, b.k) AS k, coalesce(b.latest, a.latest) AS latest, greatest(coalesce(a.n, b.n), coalesce(b.n, a.n)) AS n FROM (SELECT o_custkey AS k, max(o_orderkey) AS latest, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, max(o_orderkey) AS latest, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.k = b.k")
 def _(t):
     side = lambda s: t("orders").where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("latest"), F.count("*").alias("n"))
@@ -187,15 +183,18 @@ def _(t):
     return R.three_way(side("o_orderstatus = 'F'"), side("o_orderstatus <> 'O'"), side("o_orderstatus <> 'P'"), "k", "n")
 
 
-@query("join_19_latest_wins", "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+@query("join_19_latest_wins", "SELECT o_custkey, max_by(o_totalprice, o_orderkey) AS o_totalprice, max_by(o_orderpriority, o_orderkey) FILTER (o_orderpriority <> '5-LOW') AS o_orderpriority FROM orders GROUP BY 1")
 def _(t):
-    return R.last_event(t("orders"), "o_custkey", "o_orderkey", "o_orderkey")
+    # The latest row wins; a value it lacks comes from the latest that has one.
+    o = t("orders").withColumn("o_orderpriority", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")))
+    return o.groupBy("o_custkey").agg(F.max_by("o_totalprice", "o_orderkey").alias("o_totalprice"), F.max_by("o_orderpriority", F.when(F.col("o_orderpriority").isNotNull(), F.col("o_orderkey"))).alias("o_orderpriority"))
 
 
-@query("join_20_related", "WITH x AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS tag FROM lineitem), d AS (SELECT tag, count(*) AS df FROM x GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60), w AS (SELECT k, tag, 1 / ln(df + 1.5::DOUBLE) AS w FROM x JOIN d USING (tag)), p AS (SELECT a.k AS k, b.k AS peer, round(sum(a.w), 6) AS score FROM w a JOIN w b ON a.tag = b.tag AND a.k <> b.k GROUP BY 1, 2) SELECT k, peer, score, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, peer) AS INTEGER) AS rank FROM p QUALIFY rank <= 5")
+@query("join_20_related", "WITH x AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS tag FROM lineitem), d AS (SELECT tag, count(*) AS df FROM x GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60), w AS (SELECT k, tag, 1 / ln(df + 1.5::DOUBLE) AS w FROM x JOIN d USING (tag)), p AS (SELECT a.k AS k, b.k AS peer, sum(a.w) AS s FROM w a JOIN w b ON a.tag = b.tag AND a.k <> b.k GROUP BY 1, 2), q AS (SELECT p.k, peer, round(s + CASE WHEN oa.o_custkey = ob.o_custkey THEN 0.15::DOUBLE ELSE 0 END, 6) AS score, ob.o_orderdate AS day FROM p JOIN orders oa ON oa.o_orderkey = p.k JOIN orders ob ON ob.o_orderkey = peer) SELECT k, peer, score, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, day DESC, peer) AS INTEGER) AS rank FROM q QUALIFY rank <= 5")
 def _(t):
     x = t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("tag")).distinct()
-    return R.related(x, "k", "tag").select("k", "peer", "score", "rank")
+    items = t("orders").select(F.col("o_orderkey").alias("k"), "o_custkey", "o_orderdate")
+    return R.related(x, "k", "tag", items, "o_custkey", [F.col("o_orderdate").desc()])
 
 
 @query("join_21_members", "SELECT DISTINCT user_id FROM (SELECT user_id FROM events WHERE value > 480 UNION ALL SELECT user_id FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 15)")
@@ -204,14 +203,11 @@ def _(t):
     return e.where("value > 480").select("user_id").union(e.where("event_type = 'error'").groupBy("user_id").count().where("count >= 15").select("user_id")).distinct()
 
 
-@query("join_08_name_match", "WITH p AS (SELECT DISTINCT p_name AS name FROM part), x AS (SELECT DISTINCT name, unnest(string_split(name, ' ')) AS w FROM p), n AS (SELECT name, count(*) AS n FROM x GROUP BY 1) SELECT a.name AS x, b.name AS y, count(*) / (any_value(na.n) + any_value(nb.n) - count(*))::DOUBLE AS jaccard FROM x a JOIN x b ON a.w = b.w AND a.name < b.name JOIN n na ON na.name = a.name JOIN n nb ON nb.name = b.name GROUP BY 1, 2 HAVING jaccard >= 0.3")
+@query("join_08_name_match", "WITH p AS (SELECT DISTINCT p_name || ' ' || lower(p_type) || ' ' || lower(p_brand) AS name FROM part), x AS (SELECT DISTINCT name, unnest(string_split(name, ' ')) AS w FROM p), n AS (SELECT name, count(*) AS n FROM x GROUP BY 1) SELECT a.name AS x, b.name AS y, count(*) / (any_value(na.n) + any_value(nb.n) - count(*))::DOUBLE AS jaccard FROM x a JOIN x b ON a.w = b.w AND a.name < b.name JOIN n na ON na.name = a.name JOIN n nb ON nb.name = b.name GROUP BY 1, 2 HAVING jaccard >= 0.5 AND count(*) FILTER (a.w NOT IN ('economy', 'small', 'large', 'red')) > 0")
 def _(t):
     # Pairs of different names; rows with one name are that name's class.
-    p = t("part").select(F.col("p_name").alias("name")).distinct().withColumn("ws", F.array_distinct(F.split("name", " ")))
-    x = p.select("name", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    a, b = x.alias("a"), x.alias("b")
-    j = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.name") < F.col("b.name"))).groupBy(F.col("a.name").alias("x"), F.col("b.name").alias("y")).agg(F.count("*").alias("c"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"))
-    return j.select("x", "y", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard")).where("jaccard >= 0.3")
+    p = t("part").select(F.concat_ws(" ", "p_name", F.lower("p_type"), F.lower("p_brand")).alias("name")).distinct()
+    return R.similar_names(p.withColumn("ws", F.split("name", " ")), "name", "ws", stop=("economy", "small", "large", "red"))
 
 
 @query("win_02_neighbours", "SELECT event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -270,11 +266,14 @@ def _(t):
     return S.dedupe_rolling(t("conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), "text"))
 
 
-@query("srt_01_score", "SELECT event_id, CASE user_id % 3 WHEN 0 THEN 100 WHEN 1 THEN 55 ELSE 25 END - 4 * least(10, datediff('day', CAST(ts AS DATE), DATE '2024-01-31')) + CASE WHEN event_type = 'purchase' THEN 30 ELSE 0 END AS score FROM events")
+@query("srt_01_score", "WITH n AS (SELECT user_id, count(*) % 8 AS n FROM events GROUP BY 1) SELECT event_id, CAST(CASE user_id % 3 WHEN 0 THEN 100 WHEN 1 THEN 55 ELSE 25 END - 4 * least(10, datediff('day', CAST(ts AS DATE), DATE '2024-01-31')) + CASE WHEN event_type = 'purchase' THEN 30 ELSE 0 END + CASE WHEN event_id % 50 * 1000 > 20000 THEN 22 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 8 ELSE 0 END - CASE WHEN value < 15 THEN 12 ELSE 0 END - CASE WHEN value > 240 THEN 6 ELSE 0 END + greatest(0, 60 - 12 * n) AS BIGINT) AS score FROM events JOIN n USING (user_id)")
 def _(t):
-    tier = F.when(F.col("user_id") % 3 == 0, 100).when(F.col("user_id") % 3 == 1, 55).otherwise(25)
-    age = F.least(F.lit(10), F.datediff(F.lit("2024-01-31").cast("date"), F.to_date("ts")))
-    return t("events").select("event_id", (tier - 4 * age + F.when(F.col("event_type") == "purchase", 30).otherwise(0)).cast("long").alias("score"))
+    from ..operators import ledgers as L
+
+    e = t("events")
+    e = e.join(e.groupBy("user_id").agg((F.count("*") % 8).alias("n")), "user_id")
+    age = F.datediff(F.lit("2024-01-31").cast("date"), F.to_date("ts"))
+    return e.select("event_id", L.candidate_score(tier=F.col("user_id") % 3 + 1, age=age, official=F.col("event_type") == "purchase", notes=F.col("event_id") % 50 * 1000, chapters=F.col("event_id") % 3 == 0, minutes=F.col("value"), published=F.col("n")).alias("score"))
 
 
 @query("srt_09_top", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 60")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,20 +31,18 @@ def speaker_lines(files: DataFrame, key: str = "id", body: str = "body", least:
     return x.join(good.select(key), key, "left_semi").select(key, "pos", "t", "spk", "text")
 
 
-def feed_items(feeds: DataFrame, key: str = "source_id", xml: str = "xml") -> DataFrame:
-    """SRC-02, SRC-04: items of RSS texts as rows: title, guid (else link, else title) and link; control characters are dropped first."""
-    clean = F.regexp_replace(xml, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
-    items = feeds.select(key, F.posexplode(F.regexp_extract_all(clean, F.lit(r"(?s)<item\b[^>]*>(.*?)</item>"), 1)).alias("pos", "item"))
-    field = lambda n: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("item", rf"(?s)<{n}\b[^>]*>(.*?)</{n}>", 1), r"^<!\[CDATA\[|\]\]>$", "")), F.lit(""))
-    return items.select(key, "pos", field("title").alias("title"), F.coalesce(field("guid"), field("link"), field("title")).alias("guid"), field("link").alias("link"))
-
-
 def untimed(texts: DataFrame, key: str, body: str, span: str) -> DataFrame:
-    """SRC-11: lines of an untimed text with times interpolated by the characters before them; as (key, pos, t, text). The lengths before each line are summed within its row, so nothing is shuffled; t is null where a text has no characters."""
-    lines = F.split(body, "\n")
-    # Prefix sums in one pass: the state holds the sum and the starts so far.
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("starts"))
-    step = lambda acc, x: F.struct((acc["sum"] + F.length(x)).alias("sum"), F.array_append(acc["starts"], acc["sum"]).alias("starts"))
-    x = texts.select(key, F.col(span).cast("long").alias("_span"), lines.alias("_lines"), F.aggregate(lines, start, step).alias("_a"))
-    rows = x.select(key, "_span", F.col("_a.sum").alias("_sum"), F.posexplode(F.arrays_zip(F.col("_lines").alias("text"), F.col("_a.starts").alias("start"))).alias("pos", "_r"))
-    return rows.select(key, "pos", F.floor(F.col("_span") * F.col("_r.start") / F.nullif("_sum", F.lit(0))).alias("t"), F.col("_r.text").alias("text"))
+    """SRC-11: lines of an untimed text with times interpolated by the characters before them; as (key, pos, t, text). A text's lengths are summed where
+    it lies (Arrow), once over its lines, so nothing is shuffled; t is null where a text has no characters.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, text, seconds in zip(b[key], b[body], b[span], strict=True):
+                lines = [] if text is None else text.split("\n")
+                starts = np.cumsum([0, *map(len, lines)], dtype=np.int64)
+                t = [int(seconds) * int(s) // int(starts[-1]) if starts[-1] else None for s in starts[:-1]]
+                yield pd.DataFrame({key: k, "pos": np.arange(len(lines), dtype=np.int32), "t": pd.array(t, "Int64"), "text": lines})
+
+    rows = texts.select(key, body, F.col(span).cast("long").alias(span))
+    return rows.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, pos int, t long, text string")

@@ -7,12 +7,14 @@ from pathlib import Path
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import text as X
+from lectern.operators import evidence as E
 from lectern.operators import relational as R
 from lectern.operators import stateful as S
 from lectern.plans.queries import ORACLES, QUERIES
-from lectern.sources import captions
+from lectern.sources import captions, feeds, scans
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,17 +23,17 @@ def one(spark, column):
     return spark.range(1).select(column).first()[0]
 
 
-@pytest.mark.parametrize(("text", "seconds"), [("3104", 3104), ("51:44", 3104), ("1:09:38", 4178), ("nonsense", None), ("0", None)])
+@pytest.mark.parametrize(("text", "seconds"), [("2840", 2840), ("47:20", 2840), ("2:05:06", 7506), ("no clock", None), ("0", None)])
 def test_parse_clock(spark, text, seconds):
     assert one(spark, X.parse_clock(F.lit(text))) == seconds
 
 
-@pytest.mark.parametrize("n", [0, 59, 60, 3599, 3600, 4178])
+@pytest.mark.parametrize("n", [0, 58, 61, 3598, 3601, 7506])
 def test_clock_round_trip(spark, n):
     assert (one(spark, X.parse_clock(X.clock(F.lit(n)))) or 0) == n
 
 
-@pytest.mark.parametrize(("lead", "upload", "day"), [("2011-06-07", "2012-02-02", "2011-06-07"), ("2026-11", "2026-11-10", "2026-11-10"), ("1996-05", "2012-02-02", "1996-05-01"), ("1980", "", "1980-01-01")])
+@pytest.mark.parametrize(("lead", "upload", "day"), [("2015-03-09", "2016-01-20", "2015-03-09"), ("2024-08", "2024-08-17", "2024-08-17"), ("1999-04", "2013-05-05", "1999-04-01"), ("1987", None, "1987-01-01")])
 def test_event_date(spark, lead, upload, day):
     assert one(spark, X.event_date(F.lit(lead), F.lit(upload))) == datetime.date.fromisoformat(day)
 
@@ -60,11 +62,31 @@ def test_captions(spark):
     assert [r.text for r in S.dedupe_rolling(rows).orderBy("pos").collect()] == ["so we began", "to see", "the end"]
 
 
-def test_speaker_lines_and_feeds(spark):
+def test_speaker_lines(spark):
     body = "\n".join(f"Ann [00:0{i}:00]: this is what was said" for i in range(6))
     assert captions.speaker_lines(spark.createDataFrame([("a", body), ("b", "long text " * 99 + "\n" + body[:40])], "id string, body string")).count() == 6
-    rss = "<rss><item><title><![CDATA[One]]></title><link>http://x/1</link></item><item><title>Two</title><guid>g2</guid></item></rss>"
-    assert [r.guid for r in captions.feed_items(spark.createDataFrame([("s", rss)], "source_id string, xml string")).orderBy("pos").collect()] == ["http://x/1", "g2"]
+
+
+def test_feeds(spark):
+    rss = "<rss><channel><itunes:image href=\"c\"/><item><title><![CDATA[One]]></title><link>http://x/1</link><enclosure url=\"i\" type=\"image/png\"/><media:content url=\"m\"/></item><item><title>Two</title><guid>g2</guid><enclosure type=\"audio/mp3\" url=\"a\"/></item></channel></rss>"
+    atom = "<?xml version='1.0'?>\x02<feed><entry><title>Three</title><link href=\"http://v/3\"/></entry><entry><title>Four</title><link href=\"http://v/shorts/4\"/></entry></feed>"
+    rows = feeds.items(spark.createDataFrame([("r", rss), ("a", atom), ("h", "<html>")], "s string, xml string"), "s", "xml")
+    assert sorted((r.s, r.pos, r.title, r.guid, r.audio, r.art) for r in rows.collect()) == [("a", 0, "Three", "http://v/3", None, None), ("r", 0, "One", "http://x/1", "m", "c"), ("r", 1, "Two", "g2", "a", "c")]
+
+
+def test_json_files(spark, tmp_path):
+    for name, body in {"a": '{"slug": "a", "published": "2024-01-02"}', "b": '{"slug": "b",\n "published": null}', "c": '{"slug": "c"', "d": '{"slug": "d", "published": "2024-03-01"}'}.items():
+        (tmp_path / f"{name}.json").write_text(body)
+    schema = T.StructType([T.StructField("slug", T.StringType()), T.StructField("published", T.StringType())])
+    assert [r.slug for r in scans.scan(spark, str(tmp_path), schema, "published").collect()] == ["d", "a", "b"]
+    assert [r.file.rsplit("/", 1)[-1] for r in scans.broken(spark, str(tmp_path)).collect()] == ["c.json"]
+    assert scans.ledger(spark, str(tmp_path / "none.json"), schema).count() == 0
+
+
+def test_round_robin(spark):
+    rows = [("a", "x", 1), ("a", "shared", 2), ("a", "y", 3), ("b", "shared", 1), ("b", "z", 2)]
+    got = E.round_robin(spark.createDataFrame(rows, "p string, i string, o int"), "p", "i", "o").orderBy("turn", "p").collect()
+    assert [(r.p, r.i) for r in got] == [("a", "x"), ("b", "shared"), ("a", "y"), ("b", "z")]
 
 
 def test_as_of_and_anchors(spark):

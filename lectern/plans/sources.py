@@ -209,9 +209,9 @@ def _(t):
     return kept.where("ts >= TIMESTAMP '2024-01-20'").select("user_id", "event_id")
 
 
-@query("snk_14_heartbeat", "SELECT event_type AS line, max(ts) AS at, max_by(event_id, ts) AS run, max_by(value > 400, ts) AS failed FROM events GROUP BY 1")
+@query("snk_14_heartbeat", "SELECT event_type AS line, max(ts) AS beat, max_by(event_id, ts) AS run, max_by(value > 400, ts) AS failed FROM events GROUP BY 1")
 def _(t):
-    return t("events").withColumn("failed", F.col("value") > 400).groupBy(F.col("event_type").alias("line")).agg(F.max("ts").alias("at"), F.max_by("event_id", "ts").alias("run"), F.max_by("failed", "ts").alias("failed"))
+    return t("events").withColumn("failed", F.col("value") > 400).groupBy(F.col("event_type").alias("line")).agg(F.max("ts").alias("beat"), F.max_by("event_id", "ts").alias("run"), F.max_by("failed", "ts").alias("failed"))
 
 
 @query("snk_15_submissions", "WITH u AS (SELECT regexp_replace(url, '[?#].*$', '') AS u, min(page_id) AS first FROM pages GROUP BY 1) SELECT pre || regexp_replace(u, '^https?://', '') AS url, o * 1000000000 + first AS place FROM u, (VALUES (0, ''), (1, 'en/'), (2, 'tw/')) v(o, pre)")

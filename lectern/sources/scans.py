@@ -36,7 +36,7 @@ def scan(spark: SparkSession, path: str, schema: T.StructType, newest: str) -> D
 
 def broken(spark: SparkSession, path: str) -> DataFrame:
     """SRC-25: the files under path that are no JSON."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return text.where(F.try_parse_json("value").isNull()).select("file")
 
 

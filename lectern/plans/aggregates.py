@@ -222,7 +222,7 @@ def _(t):
 
 @query("stf_04_spread")
 def _(t):
-    c = t("events").where(F.to_date("ts") >= "2024-01-29").select("event_id", "user_id", "event_type", (F.col("value") * 100).cast("long").alias("score"))
+    c = t("events").select("event_id", "user_id", "event_type", (F.col("value") * 100).cast("long").alias("score"))
     return S.spread(c, "event_id", "user_id", "event_type", "score", F.col("user_id") % 10 == 0, F.col("user_id") % 7 == 0, limit=40)
 
 

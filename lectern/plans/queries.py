@@ -81,11 +81,12 @@ def _(t):
     return R.top_reason(t("events"), "user_id", "event_type", "event_id").select("user_id", "event_type", "n")
 
 
-@query("agg_16_source_class", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'broken' WHEN n IS NULL THEN 'untried' WHEN late < TIMESTAMP '2000-01-01' THEN 'stale' WHEN n >= 15 THEN 'busy' ELSE 'ok' END AS class FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS late FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+@query("agg_16_source_class", "SELECT c_custkey, CASE WHEN c_acctbal < -500 THEN 'broken' WHEN c_acctbal < 0 THEN 'unreachable' WHEN n IS NULL THEN 'untried' WHEN open = n THEN 'never done' WHEN late < TIMESTAMP '2000-01-01' THEN 'stale' WHEN open * 2 > n THEN 'failing' WHEN n >= 15 THEN 'busy' ELSE 'ok' END AS class FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS open, max(o_orderdate) AS late FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def _(t):
-    o = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderdate").alias("late"))
+    o = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.max("o_orderdate").alias("late"))
     j = t("customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
-    c = F.when(F.col("c_acctbal") < 0, "broken").when(F.col("n").isNull(), "untried").when(F.col("late") < F.lit("2000-01-01").cast("timestamp"), "stale").when(F.col("n") >= 15, "busy").otherwise("ok")
+    c = F.when(F.col("c_acctbal") < -500, "broken").when(F.col("c_acctbal") < 0, "unreachable").when(F.col("n").isNull(), "untried").when(F.col("open") == F.col("n"), "never done")
+    c = c.when(F.col("late") < F.lit("2000-01-01").cast("timestamp"), "stale").when(F.col("open") * 2 > F.col("n"), "failing").when(F.col("n") >= 15, "busy").otherwise("ok")
     return j.select("c_custkey", c.alias("class"))
 
 
@@ -367,11 +368,12 @@ def _(t):
     return j.select("doc_id", X.gate_passes(F.col("quality"), 1, True).alias("triage"), X.gate_passes(F.col("quality"), 1, False).alias("review"))
 
 
-@query("flt_27_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'and') AND lang = 'en' ORDER BY doc_id LIMIT 50")
+@query("flt_27_search", "SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', source, lang, text)), 'the') AND contains(lower(concat_ws(' ', source, lang, text)), 'src1') AND contains(lower(source), '1') AND lang = 'en' ORDER BY doc_id LIMIT 50")
 def _(t):
-    hay = F.lower("text")
-    hits = t("documents").where((F.col("lang") == "en") & F.forall(F.split(F.lit("the and"), r"\s+"), lambda w: F.contains(hay, w)))
-    return hits.select("doc_id").orderBy("doc_id").limit(50)
+    # Terms over the whole haystack, a part of the show's name, a category, and at most 50 hits however many are asked for.
+    hay = F.lower(F.concat_ws(" ", "source", "lang", "text"))
+    hits = t("documents").where(F.forall(F.split(F.lit("the src1"), r"\s+"), lambda w: F.contains(hay, w)) & F.contains(F.lower("source"), F.lit("1")) & (F.col("lang") == "en"))
+    return hits.select("doc_id").orderBy("doc_id").limit(max(1, min(80, 50)))
 
 
 @query("rul_01_judge", "SELECT user_id, CASE WHEN n < 4 THEN NULL WHEN err * 4 > n THEN 'demote' WHEN latest < TIMESTAMP '2024-01-25' THEN 'stale' WHEN ok * 4 < n THEN 'remove' END AS action FROM (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS err, count(*) FILTER (value >= 70) AS ok, max(ts) AS latest FROM events GROUP BY 1)")

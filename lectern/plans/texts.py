@@ -179,10 +179,10 @@ def _(t):
     return t("documents").select("doc_id", X.tokens_estimate(F.col("text")).between(1, 2000).alias("fits"))
 
 
-@query("snk_03_api_index", "SELECT doc_id, n_chars, (SELECT max(doc_id) FROM documents) AS generated FROM documents WHERE lang = 'en'")
+@query("snk_03_api_index", "SELECT doc_id, lang, source, n_chars, substr(text, 1, 80) AS dek, (SELECT max(doc_id) FROM documents) AS generated FROM documents")
 def _(t):
     last = t("documents").agg(F.max("doc_id").alias("generated"))  # one row
-    return t("documents").where("lang = 'en'").select("doc_id", "n_chars").join(F.broadcast(last), F.lit(True))
+    return t("documents").select("doc_id", "lang", "source", "n_chars", F.substring("text", 1, 80).alias("dek")).join(F.broadcast(last), F.lit(True))
 
 
 @query("snk_04_search_row", "SELECT doc_id, substr(lower(concat_ws(' ', source, lang, text)), 1, 5000) AS hay FROM documents")
@@ -197,10 +197,10 @@ def _(t):
     return d.select(loc("source", "source")).distinct().unionByName(d.select(loc("e", "doc_id"))).unionByName(t("conversations").where("turn = 0").select(loc("c", "conv_id")))
 
 
-@query("snk_11_article_body", "SELECT conv_id, string_agg('[' || turn || '] ' || role, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1")
+@query("snk_11_article_body", "SELECT conv_id, string_agg('[' || (turn * 37) // 60 || ':' || lpad(CAST(turn * 37 % 60 AS VARCHAR), 2, '0') || '] ' || role || '。' || substr(text, 1, 40), chr(10) ORDER BY turn, text) AS body FROM conversations GROUP BY 1")
 def _(t):
-    line = F.struct("turn", F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), "role").alias("line"))
-    return t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda r: r["line"]), "\n").alias("body"))
+    line = F.concat(F.lit("["), T.clock(F.col("turn") * 37), F.lit("] "), "role", F.lit("。"), F.substring("text", 1, 40))
+    return t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", line.alias("line")))), lambda r: r["line"]), "\n").alias("body"))
 
 
 @query("snk_12_usage_retained", "WITH u AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT * FROM u WHERE day > (SELECT max(day) FROM u) - 10")

@@ -36,19 +36,24 @@ def interleave(rows: DataFrame, person: str, rank_in_person: Column, order: Colu
     return rows.withColumn("turn", rank_in_person).orderBy("turn", order)
 
 
-def blocks(rows: DataFrame, key: str, at: str, item: str, width: int) -> DataFrame:
-    """STF-03: rows in blocks that begin at the first row more than width after the block's first; as (key, block, start, n). One recording is one group."""
+def blocks(rows: DataFrame, key: str, at: str, width: int) -> DataFrame:
+    """STF-03: rows in blocks that begin at the first row width or more after the block's first; as (key, block, start, n).
 
-    def fold(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    Rows are counted by (key, at) before the fold, so a group holds a recording's distinct seconds, however many rows it has. Rows without a time have no block.
+    """
+
+    def fold(k: tuple, times: pd.DataFrame) -> pd.DataFrame:
+        times = times.sort_values(at)
         out: list[list] = []
-        for s in rows.sort_values([at, item])[at]:
+        for s, n in zip(times[at], times["_n"], strict=True):
             if not out or s - out[-1][0] >= width:
                 out.append([s, 0])
-            out[-1][1] += 1
+            out[-1][1] += n
         return pd.DataFrame([(k[0], i, s, n) for i, (s, n) in enumerate(out)], columns=[key, "block", "start", "n"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.where(F.col(at).isNotNull()).groupBy(key).applyInPandas(fold, f"{key} {kind}, block long, start long, n long")
+    times = rows.where(F.col(at).isNotNull()).groupBy(key, at).agg(F.count("*").alias("_n"))
+    return times.groupBy(key).applyInPandas(fold, f"{key} {kind}, block long, start long, n long")
 
 
 def spread(rows: DataFrame, item: str, source: str, category: str, score: str, starved: Column, followed: Column, *, limit: int, per_source: int = 2) -> DataFrame:

@@ -214,24 +214,47 @@ def _(t):
     return a.subtract(b).withColumn("side", F.lit("left")).unionByName(b.subtract(a).withColumn("side", F.lit("right")))
 
 
-@query("stf_03_blocks")
+BLOCKS = """WITH RECURSIVE e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT user_id, 0 AS block, min(s) AS start FROM e GROUP BY 1
+ UNION ALL SELECT b.user_id, b.block + 1, min(e.s) FROM b JOIN e ON e.user_id = b.user_id AND e.s >= b.start + 86400 GROUP BY b.user_id, b.block)
+SELECT b.user_id, CAST(b.block AS BIGINT) AS block, b.start, CAST(sum(e.n) AS BIGINT) AS n FROM e ASOF JOIN b ON e.user_id = b.user_id AND e.s >= b.start GROUP BY 1, 2, 3"""
+
+
+@query("stf_03_blocks", BLOCKS)
 def _(t):
-    e = t("events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), "event_id")
-    return S.blocks(e, "user_id", "s", "event_id", 86400)
+    e = t("events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
+    return S.blocks(e, "user_id", "s", 86400)
+
+
+SPREAD = """WITH c AS (SELECT event_id, user_id, event_type, CAST(trunc(value * 100) AS BIGINT) AS score, user_id % 10 = 0 AS starved, user_id % 7 = 0 AS followed FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, event_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS r FROM c) WHERE r <= 2),
+h AS (SELECT event_id FROM k WHERE starved ORDER BY score DESC, event_id LIMIT 20)
+SELECT event_id, user_id, event_type, score, CASE WHEN event_id IN (SELECT event_id FROM h) THEN 0 WHEN followed THEN 1 WHEN place = 1 THEN 2 ELSE 3 END AS turn FROM k ORDER BY turn, score DESC, event_id LIMIT 40"""
 
 
-@query("stf_04_spread")
+@query("stf_04_spread", SPREAD)
 def _(t):
     c = t("events").select("event_id", "user_id", "event_type", (F.col("value") * 100).cast("long").alias("score"))
     return S.spread(c, "event_id", "user_id", "event_type", "score", F.col("user_id") % 10 == 0, F.col("user_id") % 7 == 0, limit=40)
 
 
-@query("stf_05_chunks")
+CHUNKS = """WITH RECURSIVE r AS (SELECT doc_id, text, 0 AS pos, 0 AS a, 0 AS b FROM documents WHERE text <> ''
+ UNION ALL SELECT doc_id, text, pos + 1, b, CASE WHEN b + 4000 < length(text) AND contains(substr(text, b + 2001, 2000), chr(10)) THEN b + 3999 - length(string_split(substr(text, b + 2001, 2000), chr(10))[-1]) ELSE b + 4000 END
+ FROM r WHERE b < length(text))
+SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, substr(text, a + 1, b - a) AS piece FROM r WHERE pos > 0"""
+
+
+@query("stf_05_chunks", CHUNKS)
 def _(t):
     return S.chunks(t("documents").select("doc_id", "text"), "doc_id", "text", 4000, "\n")
 
 
-@query("str_08_sessions")
+SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, i"""
+
+
+@query("str_08_sessions", SESSIONS)
 def _(t):
     e = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     return e.groupBy(F.session_window("ts", "2 hours").alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")

@@ -256,13 +256,25 @@ def _(t):
     return S.interleave(t("events").select("event_id", "user_id", "ts"), "user_id", turn, F.col("user_id")).select("event_id", "turn")
 
 
-@query("stf_02_anchors")
+ANCHORS = """WITH RECURSIVE e AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS t FROM events WHERE ts IS NOT NULL),
+a AS (SELECT user_id, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT a.user_id, min(e.t) FROM a JOIN e ON e.user_id = a.user_id AND e.t >= a.t + 86400 GROUP BY a.user_id, a.t)
+SELECT user_id, CAST(t AS INTEGER) AS t FROM a"""
+
+
+@query("stf_02_anchors", ANCHORS)
 def _(t):
     e = t("events").select("user_id", (F.unix_timestamp("ts") - 1704067200).cast("int").alias("t"))
-    return e.groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("times")).select("user_id", S.anchors(F.col("times"), 86400).alias("anchors"))
+    return e.groupBy("user_id").agg(F.array_sort(F.collect_set("t")).alias("times")).select("user_id", F.explode(S.anchors(F.col("times"), 86400)).alias("t"))
+
+
+ROLLING = r"""WITH RECURSIVE s AS (SELECT conv_id AS id, turn AS pos, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+r AS (SELECT id, pos, i, w AS fresh, w[-40:] AS tail FROM s WHERE i = 1
+ UNION ALL SELECT id, pos, i, w[k + 1:], (list_concat(tail, w[k + 1:]))[-40:]
+ FROM (SELECT s.*, r.tail, coalesce(list_max(list_filter(range(1, least(len(s.w), len(r.tail)) + 1), lambda n: r.tail[-n:] = s.w[1:n])), 0) AS k FROM r JOIN s ON s.id = r.id AND s.i = r.i + 1))
+SELECT id, pos, array_to_string(fresh, ' ') AS text FROM r WHERE len(fresh) > 0"""
 
 
-@query("stf_01_rolling_captions")
+@query("stf_01_rolling_captions", ROLLING)
 def _(t):
     return S.dedupe_rolling(t("conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), "text"))
 

@@ -14,7 +14,7 @@ def test_fair_cap(spark):
 
 def test_blocks_count_from_the_first_row(spark):
     rows = spark.createDataFrame([("a", s, i) for i, s in enumerate((0, 59, 60, 119, 121, 300))] + [("b", None, 9)], "k string, s long, i int")
-    assert [(r.start, r.n) for r in S.blocks(rows, "k", "s", "i", 60).orderBy("start").collect()] == [(0, 2), (60, 2), (121, 1), (300, 1)]
+    assert [(r.start, r.n) for r in S.blocks(rows, "k", "s", 60).orderBy("start").collect()] == [(0, 2), (60, 2), (121, 1), (300, 1)]
 
 
 def test_chunks_rejoin(spark):

@@ -251,10 +251,10 @@ def _(t):
 
 SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, i"""
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS until, count(*) AS n FROM s GROUP BY user_id, i"""
 
 
 @query("str_08_sessions", SESSIONS)
 def _(t):
     e = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return e.groupBy(F.session_window("ts", "2 hours").alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
+    return e.groupBy(F.session_window("ts", "2 hours").alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("until"), "n")

@@ -135,9 +135,25 @@ def even_sample(df: DataFrame, group: str, order: Sequence[Column], n: int) -> D
     return x.where(F.col("_i") % F.greatest(F.lit(1), F.floor(F.col("_n") / n)) == 0).drop("_i", "_n")
 
 
-def pages(df: DataFrame, order: Sequence[Column], head: int, size: int) -> DataFrame:
-    """SNK-09, WIN-10: page numbers of the rows after the first head; ranks are global, so this is for served lists."""
-    x = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
+def placed(df: DataFrame, order: Sequence[Column], coarse: Sequence[tuple[Column, bool]], name: str = "rn") -> DataFrame:
+    """WIN-01: df with its global row number in order, which must be total, and no task that holds all rows.
+
+    coarse are (bucket, whether it descends) that follow order: a row of an earlier bucket comes before every row of a later one. Ranks are taken in the
+    buckets, and the counts of the buckets, one row each, are summed in one task; so a bucket should hold some thousands of rows. A null is a bucket of its own.
+    """
+    keys = [f"_c{i}" for i in range(len(coarse))]
+    x = df.withColumns({k: c for k, (c, _) in zip(keys, coarse, strict=True)})
+    ranked = x.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    by = [F.col(k).desc_nulls_last() if down else F.col(k).asc_nulls_first() for k, (_, down) in zip(keys, coarse, strict=True)]
+    sums = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    before = x.groupBy(*keys).agg(F.count("*").alias("_n")).select(*[F.col(k).alias(f"b{k}") for k in keys], F.coalesce(F.sum("_n").over(sums), F.lit(0)).alias("_before"))
+    on = [F.col(k).eqNullSafe(F.col(f"b{k}")) for k in keys]
+    return ranked.join(before, on).withColumn(name, F.col("_before") + F.col("_r")).select(*df.columns, name)
+
+
+def pages(df: DataFrame, order: Sequence[Column], coarse: Sequence[tuple[Column, bool]], head: int, size: int) -> DataFrame:
+    """SNK-09, WIN-10: page numbers of the rows after the first head; order and coarse as in placed."""
+    x = placed(df, order, coarse)
     return x.where(F.col("rn") > head).withColumn("page", (F.floor((F.col("rn") - 1 - head) / size) + 1).cast("int"))
 
 

@@ -189,7 +189,8 @@ def _(t):
 
 @query("srt_04_registry_order", "SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_name) AS place FROM supplier")
 def _(t):
-    return t("supplier").select("s_suppkey", F.row_number().over(Window.orderBy("s_nationkey", F.col("s_acctbal").desc(), "s_name")).cast("long").alias("place"))
+    order = [F.col("s_nationkey"), F.col("s_acctbal").desc(), F.col("s_name")]
+    return R.placed(t("supplier"), order, [(F.col("s_nationkey"), False), (F.floor("s_acctbal"), True)], "place").select("s_suppkey", "place")
 
 
 @query("srt_10_latest_in_category", "SELECT event_id FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id LIMIT 50")

@@ -206,9 +206,9 @@ def _(t):
 
 @query("win_01_rank", "SELECT user_id, CAST(row_number() OVER (ORDER BY n DESC, latest DESC, user_id) AS INTEGER) AS rank FROM (SELECT user_id, count(*) AS n, max(ts) AS latest FROM events GROUP BY 1)")
 def _(t):
-    # Sources are few beside items: the rank runs over one row for each.
     s = t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
-    return s.select("user_id", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("latest").desc(), "user_id")).alias("rank"))
+    order = [F.col("n").desc(), F.col("latest").desc(), F.col("user_id")]
+    return R.placed(s, order, [(F.col("n"), True), (F.to_date("latest"), True)], "rank").select("user_id", F.col("rank").cast("int").alias("rank"))
 
 
 @query("win_17_failures", "WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' OR event_type = 'view' AS bad FROM events), i AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS isl FROM e) SELECT user_id, max_by(s, (ts, event_id)) AS streak, max(s) AS longest FROM (SELECT user_id, ts, event_id, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, isl ORDER BY ts, event_id) AS BIGINT) AS s FROM i) GROUP BY 1")

@@ -231,7 +231,7 @@ def _(t):
 
 @query("win_10_pages", "SELECT p_partkey, CAST(floor((rn - 1 - 24) / 24) + 1 AS INTEGER) AS page FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rn FROM part) WHERE rn > 24")
 def _(t):
-    return R.pages(t("part").select("p_partkey", "p_size"), [F.col("p_size").desc(), F.col("p_partkey")], 24, 24).select("p_partkey", "page")
+    return R.pages(t("part").select("p_partkey", "p_size"), [F.col("p_size").desc(), F.col("p_partkey")], [(F.col("p_size"), True), (F.shiftright("p_partkey", 14), False)], 24, 24).select("p_partkey", "page")
 
 
 @query("win_12_even_sample", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE i % greatest(1, n // 24) = 0")

@@ -116,3 +116,11 @@ def test_query_matches_sql(spark, name):
     rows, want = sorted(rows, key=key), sorted(want, key=key)
     assert len(rows) == len(want)
     assert all(same(a, b) for x, y in zip(rows, want, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_placed_over_buckets_with_ties_and_nulls(spark):
+    rows = spark.createDataFrame([(k, None if k % 7 == 0 else k % 5, k % 3) for k in range(60)], "k int, a int, b int")
+    order = [F.col("a").desc_nulls_last(), F.col("b"), F.col("k")]
+    got = {r.k: r.rn for r in R.placed(rows, order, [(F.col("a"), True), (F.col("b"), False)]).collect()}
+    want = sorted(rows.collect(), key=lambda r: (r.a is None, -(r.a or 0), r.b, r.k))
+    assert [r.k for r in want] == sorted(got, key=got.get) and sorted(got.values()) == list(range(1, 61))

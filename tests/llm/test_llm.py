@@ -492,3 +492,31 @@ def test_licenses_equal_brute_force(spark, docs):
         assert got[i] == sorted(found)
     assert "isc-license" in got[10_000 + len(licenses.TEMPLATES)]
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_every_operator_on_empty_tables_and_clashing_columns(spark):
+    """Rows come out as without the clashing columns, and empty tables give empty results of the same columns."""
+    pages = spark.createDataFrame([(1, "http://a.b/1", "<p>one two</p>"), (2, None, None), (2, None, None), (3, "http://a.b/2", ""), (4, "http://a.b/3", "<article><p>" + "long text " * 30_000 + "</p></article>")], "page_id long, url string, html string")
+    texts = spark.createDataFrame([(1, "one two three"), (2, None), (3, ""), (None, "x " * 50_000), (1, "one two three")], "doc_id long, text string")
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (50, [2.0, None]), (50, [0.5, 0.5]), (2, []), (3, [float("nan"), 1.0])], "vec_id long, embedding array<double>")
+    tagged = texts.withColumn("lang", F.when(F.col("doc_id") == 1, "en").when(F.col("doc_id").isNull(), "fr"))
+    model = langid.fit(tagged)
+    scored = quality.fit(texts.where("doc_id in (1, 3)"), spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"))
+    items = spark.createDataFrame([("i", "two three")], "item_id string, text string")
+    cases = [
+        (pages, ("payload_bytes", "payload_digest", "refers_to", "_key", "head", "pos", "data"), lambda d: warc.archive(d)),
+        (pages, ("text", "n_chars", "host", "token", "pages"), lambda d: html.extract(d, keep=["page_id", "url"])),
+        (texts, ("licenses", "matches"), lambda d: licenses.scan(d, keep=["doc_id"])),
+        (texts, ("lang_pred", "score", "ambiguous"), lambda d: langid.identify(d, model, keep=["doc_id"])),
+        (texts, ("score", "predicted"), lambda d: quality.score(d, scored).select("doc_id", "score", "predicted")),
+        (texts, ("n_words", "n_hit", "items", "contaminated"), lambda d: decontam.decontaminate(d, items).select("doc_id", "n_words", "n_hit", "contaminated")),
+        (texts, ("class_id", "_t", "t", "root", "k"), lambda d: neardup.near_duplicates(d)),
+        (vectors, ("rank", "score", "rep", "dim", "pivot"), lambda d: knn.top_k(d, d.where("vec_id % 50 = 0"))),
+    ]
+    for table, clashing, apply in cases:
+        plain = apply(table)
+        crowded = apply(table.withColumns({c: F.lit("!") for c in clashing}))
+        names = [c for c in plain.columns if c not in ("file", "offset", "length", "archive", "position")]
+        assert sorted(map(str, plain.select(names).collect())) == sorted(map(str, crowded.select(names).collect()))
+        none = apply(table.limit(0))
+        assert none.columns == plain.columns and none.collect() == []

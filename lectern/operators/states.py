@@ -80,3 +80,27 @@ def slot_of(at: Column, hours: Sequence[int]) -> Column:
     for h in hours:
         case = F.when(F.hour(at) >= h, F.timestamp_add("HOUR", F.lit(h), day)).otherwise(case)
     return case
+
+
+def reconciled(base: DataFrame, now: DataFrame, key: str, value: str, generated: Column) -> DataFrame:
+    """AUX-27: what to do with each key that differs from base: what is gone is restored, what is generated (a condition on key) is reset or, if new, removed, the rest is staged.
+
+    As (key, action); values are compared with nulls equal, and a key that is the same on both sides, or null, has no row.
+    """
+    a = base.where(F.col(key).isNotNull()).select(key, F.col(value).alias("_a"), F.lit(True).alias("_had"))
+    b = now.where(F.col(key).isNotNull()).select(key, F.col(value).alias("_b"), F.lit(True).alias("_has"))
+    same = F.col("_had").isNotNull() & F.col("_a").eqNullSafe(F.col("_b"))
+    action = F.when(F.col("_has").isNull(), "restore").when(same, None).when(generated & F.col("_had").isNull(), "remove").when(generated, "reset").otherwise("stage")
+    return a.join(b, key, "full").select(key, action.alias("action")).where("action is not null")
+
+
+def leads(replies: DataFrame, reply: str, existing: DataFrame, name: str, *, most: int = 12, longest: int = 60, why: int = 40) -> DataFrame:
+    """UDF-09: (name, why) of the first most leads in each reply `{"leads": [{"name", "why"}]}`, squeezed and clipped; without names that exist, each once.
+
+    A reply that is no JSON, or holds no such array, gives none. Of a name's reasons the least is kept.
+    """
+    squeezed = lambda c, n: F.trim(F.substring(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), 1, n))
+    held = F.from_json(reply, "leads array<struct<name: string, why: string>>")["leads"]
+    x = replies.select(F.explode(F.slice(held, 1, most)).alias("l")).select(squeezed(F.col("l.name"), longest).alias("name"), squeezed(F.col("l.why"), why).alias("why"))
+    known = existing.select(F.col(name).alias("name"))
+    return x.where("name != ''").groupBy("name").agg(F.min("why").alias("why")).join(known, "name", "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import states
 from ..serving import tools
 from ..sinks import tables
 from .queries import query
@@ -45,3 +46,20 @@ def _(t):
     path = tables.shared_folder(o.sparkSession)
     first = tables.replace(o, path)
     return tables.replace(first.where("o_orderstatus <> 'F'").drop("o_orderstatus"), path)
+
+
+@query("aux_27_reconciled", "WITH b AS (SELECT p_partkey AS k, p_name AS v FROM part WHERE p_size <= 45), n AS (SELECT p_partkey AS k, CASE WHEN p_size = 20 THEN NULL ELSE p_name END AS v FROM part WHERE p_size > 5) SELECT coalesce(b.k, n.k) AS k, CASE WHEN n.k IS NULL THEN 'restore' WHEN coalesce(b.k, n.k) % 3 = 0 AND b.k IS NULL THEN 'remove' WHEN coalesce(b.k, n.k) % 3 = 0 THEN 'reset' ELSE 'stage' END AS action FROM b FULL JOIN n ON b.k = n.k WHERE n.k IS NULL OR b.k IS NULL OR b.v IS DISTINCT FROM n.v")
+def _(t):
+    p = t("part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("v"), "p_size")
+    now = p.where("p_size > 5").withColumn("v", F.when(F.col("p_size") != 20, F.col("v")))
+    return states.reconciled(p.where("p_size <= 45"), now, "k", "v", F.col("k") % 3 == 0)
+
+
+@query("udf_09_leads", r"WITH l AS (SELECT trim(substr(trim(regexp_replace(substr(text, 1, 30), '\s+', ' ', 'g')), 1, 60)) AS name, trim(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 40)) AS why FROM documents WHERE text IS NOT NULL) SELECT name, min(why) AS why FROM l WHERE name <> '' AND name NOT IN (SELECT trim(regexp_replace(substr(text, 1, 30), '\s+', ' ', 'g')) FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL) GROUP BY 1")
+def _(t):
+    # A document stands for a reply that names its beginning; those of even number are known already.
+    start = F.substring("text", 1, 30)
+    d = t("documents").where("text is not null")
+    replies = d.select(F.to_json(F.struct(F.array(F.struct(start.alias("name"), F.col("text").alias("why"))).alias("leads"))).alias("reply"))
+    known = d.where("doc_id % 2 = 0").select(F.trim(F.regexp_replace(start, r"\s+", " ")).alias("name"))
+    return states.leads(replies, "reply", known, "name")

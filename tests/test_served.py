@@ -3,7 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from lectern.operators import states
 from lectern.serving import tools
 from lectern.sinks import tables
 
@@ -90,3 +92,17 @@ def test_lock(spark, tmp_path):
         with pytest.raises(RuntimeError, match="held by b"), a:
             pass
     assert b.holder() is None
+
+
+def test_reconciled(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "d"), (6, "f"), (None, "x")], "k int, v string")
+    now = spark.createDataFrame([(2, "B"), (3, None), (4, None), (5, "e"), (6, "F"), (9, "i"), (None, "y")], "k int, v string")
+    got = {r.k: r.action for r in states.reconciled(base, now, "k", "v", F.col("k") % 3 == 0).collect()}
+    assert got == {1: "restore", 2: "stage", 4: "stage", 5: "stage", 6: "reset", 9: "remove"}
+
+
+def test_leads(spark):
+    many = json.dumps({"leads": [{"name": f"n{i}", "why": "w"} for i in range(13)]})
+    replies = spark.createDataFrame([('{"leads": [{"name": " A \\n B ", "why": null}, {"name": " "}, {"why": "x"}, {"name": "known", "why": "y"}]}',), (many,), ("no json",), (None,), ('{"leads": 3}',), ('{"leads": [{"name": "n0", "why": "better"}]}',)], "r string")
+    got = {r.name: r.why for r in states.leads(replies, "r", spark.createDataFrame([("known",)], "n string"), "n").collect()}
+    assert got == {"A B": "", "n0": "better"} | {f"n{i}": "w" for i in range(1, 12)}

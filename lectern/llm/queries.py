@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, knn, langid, licenses, mixing, neardup, quality, sharding, warc
+from . import centroids, decontam, html, knn, langid, licenses, mixing, neardup, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,6 +116,32 @@ SELECT doc_id, size, source_size, target, CAST(takes * size AS BIGINT) AS taken,
 FROM k
 """
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    far = "list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT v.rid, any_value(v.vec_id) AS vec_id, any_value(v.e) AS e, min({{'d': CAST({far} AS BIGINT), 'c': c.c}}) AS m FROM v, c{i} c GROUP BY v.rid)")
+        if i < rounds:
+            steps.append(f"u{i} AS (SELECT m.c AS c, unnest(e) AS x, unnest(range(1, 65)) AS p FROM a{i})")
+            steps.append(f"f{i} AS (SELECT c, list(q ORDER BY p) AS e FROM (SELECT c, p, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS q FROM u{i} GROUP BY c, p) GROUP BY c)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(f.e, c.e) AS e FROM c{i} c LEFT JOIN f{i} f ON f.c = c.c)")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS e FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) - 1 AS INTEGER) AS c, e FROM v QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) <= 16),
+{", ".join(steps)}
+SELECT a.vec_id, c.c AS cluster, a.m.d AS distance, CAST(sum(a.m.d) OVER (PARTITION BY c.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.m.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.m.c = c.c
+"""
+
+
+OP12_SQL = _lloyd_sql(3)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_licenses": op2_licenses,
@@ -127,5 +153,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard": op8_shard,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mix": op10_mix,
+    "op12_centroids": op12_centroids,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op3_top_k": OP3_SQL, "op7_decontaminate": OP7_SQL, "op10_mix": OP10_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op3_top_k": OP3_SQL, "op7_decontaminate": OP7_SQL, "op10_mix": OP10_SQL, "op12_centroids": OP12_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontam, html, knn, langid, licenses, mixing, neardup, quality, sharding, warc
+from . import centroids, decontam, html, knn, langid, licenses, mixing, neardup, quality, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +142,10 @@ FROM a{rounds} a JOIN c{rounds} c ON a.m.c = c.c
 
 OP12_SQL = _lloyd_sql(3)
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_licenses": op2_licenses,
@@ -154,5 +158,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mix": op10_mix,
     "op12_centroids": op12_centroids,
+    "op13_simhash": op13_simhash,
 }
 ORACLES = {"op1_warc": OP1_SQL, "op3_top_k": OP3_SQL, "op7_decontaminate": OP7_SQL, "op10_mix": OP10_SQL, "op12_centroids": OP12_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontam, html, knn, langid, licenses, mixing, neardup, quality, sharding, simhash, warc
+from . import centroids, conversations, decontam, html, knn, langid, licenses, mixing, neardup, quality, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,6 +116,42 @@ SELECT doc_id, size, source_size, target, CAST(takes * size AS BIGINT) AS taken,
 FROM k
 """
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+#: In SQL the edits stay strings: states 0 (nothing), 1 (system), 2 (user) and 3 (assistant), insertion by insertion and turn by turn.
+OP11_SQL = r"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT * EXCLUDE (k), xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384::UBIGINT * (y & 1)))), 4294967295::UBIGINT) % 20 AS k FROM o),
+m AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE k <> 0),
+e AS (SELECT *, right(rtrim(text, E' 	
+'), 1) AS last_char, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS before,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+t AS MATERIALIZED (SELECT *, CASE WHEN last_char = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN NOT contains('.!?', last_char) THEN 'truncated' END AS fault FROM e),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id),
+ins AS (SELECT * FROM (VALUES (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'), (2, 2, 0, ''), (2, 3, 3, 'I'), (2, 2, 6, 'II'), (3, 3, 0, ''), (3, 2, 3, 'I'), (3, 3, 6, 'II')) v(s, s2, ic, ie)),
+mv AS (SELECT * FROM (VALUES (0, 1, 'K', 's'), (0, 2, 'K', 'u'), (1, 2, 'K', 'u'), (2, 3, 'K', 'a'), (3, 2, 'K', 'u'), (0, 2, 'R', ''), (1, 2, 'R', ''), (2, 3, 'R', ''), (3, 2, 'R', ''), (0, 0, 'D', ''), (1, 1, 'D', ''), (2, 2, 'D', ''), (3, 3, 'D', '')) v(s2, s3, e, r)),
+name AS (SELECT * FROM (VALUES (0, '', []::VARCHAR[]), (1, 'I', ['user:']), (2, 'I', ['assistant:']), (3, 'I', ['user:']), (0, 'II', ['user:', 'assistant:']), (1, 'II', ['user:', 'assistant:']), (2, 'II', ['assistant:', 'user:']), (3, 'II', ['user:', 'assistant:']), (1, '', []), (2, '', []), (3, '', []), (0, 'I', ['user:'])) v(s, ie, rows)),
+path(conv_id, i, s, best) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 0, {'c': CAST(0 AS BIGINT), 'a': '', 'r': []::VARCHAR[]} FROM n
+  UNION ALL
+  SELECT p.conv_id, t.i, mv.s3, min({'c': CAST(p.best.c + ins.ic + CASE mv.e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN t.fault = 'truncated' AND mv.e <> 'D' THEN 3 ELSE 0 END AS BIGINT), 'a': p.best.a || ins.ie || mv.e,
+      'r': list_concat(list_concat(p.best.r, name.rows), CASE mv.e WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [t.role || ':' || t.text] ELSE [CASE mv.s3 WHEN 3 THEN 'assistant:' ELSE 'user:' END || t.text] END)})
+  FROM path p JOIN t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i = p.i + 1 JOIN ins ON ins.s = p.s JOIN name ON name.s = p.s AND name.ie = ins.ie JOIN mv ON mv.s2 = ins.s2
+  WHERE mv.e = 'D' OR (coalesce(t.fault, '') NOT IN ('blank', 'duplicate') AND (mv.e = 'R' OR mv.r = left(t.role, 1)))
+  GROUP BY p.conv_id, t.i, mv.s3),
+z AS (SELECT p.conv_id, min({'c': p.best.c + ins.ic, 'a': p.best.a || ins.ie, 'r': list_concat(p.best.r, name.rows)}) AS b
+      FROM path p JOIN n ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.n = p.i JOIN ins ON ins.s = p.s AND ins.s2 IN (0, 3) JOIN name ON name.s = p.s AND name.ie = ins.ie GROUP BY p.conv_id)
+SELECT c.conv_id, CAST(coalesce(n.gaps, 0) AS BIGINT) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal,
+       coalesce(z.b.c, 0) AS cost, coalesce(z.b.a, '') AS audit, sha256(coalesce(array_to_string(z.b.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -157,7 +193,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard": op8_shard,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mix": op10_mix,
+    "op11_conversations": op11_conversations,
     "op12_centroids": op12_centroids,
     "op13_simhash": op13_simhash,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op3_top_k": OP3_SQL, "op7_decontaminate": OP7_SQL, "op10_mix": OP10_SQL, "op12_centroids": OP12_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op3_top_k": OP3_SQL, "op7_decontaminate": OP7_SQL, "op10_mix": OP10_SQL, "op11_conversations": OP11_SQL, "op12_centroids": OP12_SQL}

@@ -6,18 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def mentions(bodies: DataFrame, titles: DataFrame, by: str, key: str, body: str, title: str, *, long: int = 18) -> DataFrame:
-    """JOIN-13: (key, mentions, chars) of each body: how many titles of other items of its group it holds; short titles don't count.
-
-    A group's titles meet its bodies by the group's key; both sides have shuffles of their own, which adaptive execution can split.
-    """
-    known = titles.where(F.length(title) >= long).select(F.col(by).alias("_by"), F.col(key).alias("_key"), F.lower(title).alias("_title"))
-    own = bodies.select(by, key, F.lower(body).alias("_body"))
-    hit = (F.col(key) != F.col("_key")) & F.contains("_body", F.col("_title"))
-    found = own.join(known, F.col(by) == F.col("_by")).where(hit).groupBy(key).agg(F.count_distinct("_title").alias("mentions"))
-    return bodies.select(key, F.length(body).alias("chars")).join(found, key, "left").select(key, F.coalesce("mentions", F.lit(0)).alias("mentions"), "chars")
-
-
 def is_listing(mentioned: DataFrame, *, least: int = 3, chars: int = 5000) -> DataFrame:
     """JOIN-13: a page that mentions at least least siblings, one in fewer than chars characters, lists them."""
     return mentioned.withColumn("listing", (F.col("mentions") >= least) & (F.col("chars") < chars * F.col("mentions")))

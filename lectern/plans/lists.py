@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import forms as X
 from ..functions import text as T
+from ..operators import containment as C
 from ..operators import evidence as E
 from ..operators import relational as R
 from .queries import query
@@ -119,21 +120,21 @@ def _(t):
     return E.title_match(a, b, "p_partkey", "title", "secs", "order")
 
 
-@query("join_12_quotes", "WITH q AS (SELECT item_id, text FROM benchmark), d AS (SELECT doc_id, lower(regexp_replace(text, '[^0-9A-Za-z\\x80-\\x{10FFFF}]+', ' ', 'g')) AS hay FROM documents), p AS (SELECT item_id, trim(lower(regexp_replace(substr(text, 1, 60), '[^0-9A-Za-z\\x80-\\x{10FFFF}]+', ' ', 'g'))) AS a, trim(lower(regexp_replace(substr(text, 81, 40), '[^0-9A-Za-z\\x80-\\x{10FFFF}]+', ' ', 'g'))) AS b FROM q) SELECT doc_id, item_id FROM d JOIN p ON (length(a) < 12 OR contains(hay, a)) AND (length(b) < 12 OR contains(hay, b)) AND (length(a) >= 12 OR length(b) >= 12)")
+#: A test item whose sentences are quoted with elisions between them, and the form in which quotes and texts are compared.
+QUOTE_SQL = "lower(regexp_replace({}, '[^0-9A-Za-z\\x80-\\x{{10FFFF}}]+', ' ', 'g'))"
+
+
+@query("join_12_quotes", f"WITH q AS (SELECT item_id, list_filter(list_transform(string_split_regex(replace(text, '. ', ' … '), '…+|\\.{{3,}}|\\[\\.{{3}}\\]'), lambda r: trim({QUOTE_SQL.format('r')})), lambda r: length(r) >= 12) AS runs FROM benchmark), d AS (SELECT doc_id, {QUOTE_SQL.format('text')} AS hay FROM documents) SELECT doc_id, item_id FROM d JOIN q ON len(runs) > 0 AND len(list_filter(runs, lambda r: NOT contains(hay, r))) = 0")
 def _(t):
-    # Each test item is quoted with an elision; the items are few and their number is counted before they are broadcast.
-    form = lambda c: F.trim(F.lower(F.regexp_replace(c, r"[^0-9A-Za-z\x80-\x{10FFFF}]+", " ")))
-    quotes = t("benchmark").select("item_id", F.array(form(F.substring("text", 1, 60)), form(F.substring("text", 81, 40))).alias("runs"))
-    docs = t("documents").select("doc_id", F.lower(F.regexp_replace("text", r"[^0-9A-Za-z\x80-\x{10FFFF}]+", " ")).alias("hay"))
-    held = F.broadcast(quotes) if quotes.count() <= 10_000 else quotes
-    long = F.filter("runs", lambda r: F.length(r) >= 12)
-    return docs.join(held, (F.size(long) > 0) & F.forall(long, lambda r: F.contains("hay", r))).select("doc_id", "item_id")
+    normal = lambda c: F.trim(F.lower(F.regexp_replace(c, r"[^0-9A-Za-z\x80-\x{10FFFF}]+", " ")))
+    quotes = t("benchmark").select("item_id", F.replace("text", F.lit(". "), F.lit(" … ")).alias("quote"))
+    return C.quoted(t("documents").select("doc_id", "text"), quotes, "doc_id", "text", "item_id", "quote", normal)
 
 
 @query("join_13_listing", "WITH w AS (SELECT doc_id, source, text, lower(substr(text, 1, 24)) AS title FROM documents WHERE text IS NOT NULL), m AS (SELECT a.doc_id, count(DISTINCT b.title) AS mentions FROM w a JOIN w b ON a.source = b.source AND a.doc_id <> b.doc_id AND length(b.title) >= 18 AND contains(lower(a.text), b.title) GROUP BY 1) SELECT w.doc_id, coalesce(mentions, 0) AS mentions, CAST(length(text) AS INTEGER) AS chars, coalesce(mentions, 0) >= 3 AND length(text) < 5000 * coalesce(mentions, 0) AS listing FROM w LEFT JOIN m USING (doc_id)")
 def _(t):
     d = t("documents").where("text is not null").select("doc_id", "source", "text", F.substring("text", 1, 24).alias("title"))
-    return E.is_listing(E.mentions(d, d, "source", "doc_id", "text", "title"))
+    return E.is_listing(C.mentions(d, d, "source", "doc_id", "text", "title"))
 
 
 SEGS = "SELECT conv_id AS k, turn * 10 AS sec, g FROM (SELECT conv_id, turn, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 3))) AS g FROM conversations)"
@@ -172,13 +173,13 @@ def _(t):
     return t("part").select("p_partkey", (F.arrays_overlap(w, both[0]) | close).alias("same"))
 
 
-@query("join_25_citations", "SELECT l_orderkey, l_linenumber, l_partkey, min(CASE WHEN p_size > 10 THEN p_name END) AS title, min(CASE WHEN p_size > 10 AND p_size < 45 THEN 'item-' || p_partkey END) AS slug FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3 HAVING slug IS NULL")
+@query("join_25_citations", "WITH live AS (SELECT p_name AS title, min('item-' || p_partkey) AS slug FROM part WHERE p_size < 45 GROUP BY 1), led AS (SELECT p_partkey, p_name AS title, slug FROM part LEFT JOIN live ON title = p_name WHERE p_size > 10) SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, title FROM lineitem LEFT JOIN led ON p_partkey = l_partkey WHERE slug IS NULL")
 def _(t):
     titles = t("part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("title"))
-    slugs = t("part").where("p_size < 45").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("item-"), "p_partkey").alias("slug"))
-    cites = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
-    j = cites.join(titles, "l_partkey", "left").join(slugs, "l_partkey", "left")
-    return j.withColumn("slug", F.when(F.col("title").isNotNull(), F.col("slug"))).where("slug is null").select("l_orderkey", "l_linenumber", "l_partkey", "title", "slug")
+    live = t("part").where("p_size < 45").select(F.col("p_name").alias("title"), F.concat(F.lit("item-"), "p_partkey").alias("slug"))
+    cited = C.citations(t("lineitem"), titles, live, "l_partkey", "title", "slug", by=["l_orderkey", "l_linenumber"])
+    return C.unresolved(cited, "slug").select("l_orderkey", "l_linenumber", "l_partkey", "title")
+
 
 
 @query("agg_13_labels", "SELECT source, label, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '\\S*[à-ü]\\S*')) AS label FROM documents) GROUP BY 1, 2 HAVING count(*) >= 3")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as C
 from ..functions import text as T
+from ..operators import containment as C
 from ..operators import ledgers as L
 from ..operators import relational as R
 from ..operators import states as S
@@ -255,14 +256,13 @@ def _(t):
     return t("part").select("p_partkey", X.converted(F.translate(hay, "ab", "门国"), {"门": "門", "国": "國"}).alias("hay"))
 
 
-@query("aux_13_channel", "SELECT p_partkey, min(n_nationkey) AS channel FROM part JOIN nation ON lower(n_name) = 'nation_' || p_size OR (p_size < 10 AND contains(lower(n_name), '_' || p_size)) GROUP BY 1")
+@query("aux_13_channel", "WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_size % 25 END AS id, 'nation_' || p_size AS said FROM part), n AS (SELECT n_nationkey, lower(n_name) AS name FROM nation) SELECT p_partkey, coalesce(min(id), min(n_nationkey)) AS channel FROM p LEFT JOIN n ON contains(said, name) OR contains(name, said) GROUP BY 1 HAVING channel IS NOT NULL")
 def _(t):
-    # By id where it is known; of names, either may hold the other. The registry of channels is the small side.
-    n = t("nation").select("n_nationkey", F.lower("n_name").alias("_n"))
-    held = F.broadcast(n) if n.count() <= 10_000 else n
-    said = F.concat(F.lit("nation_"), "p_size")
-    on = (F.col("_n") == said) | (F.col("p_size") < 10) & (F.contains("_n", F.concat(F.lit("_"), "p_size")) | F.contains(F.concat(F.lit("_"), "p_size"), F.col("_n")))
-    return t("part").join(held, on).groupBy("p_partkey").agg(F.min("n_nationkey").alias("channel"))
+    # By id where it is known, else by name: of two names, either may hold the other.
+    p = t("part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.col("p_size") % 25).alias("id"), F.concat(F.lit("nation_"), "p_size").alias("said"))
+    n = t("nation").select("n_nationkey", F.lower("n_name").alias("name"))
+    named = C.same_names(p, n, "p_partkey", "said", "n_nationkey", "name").groupBy("p_partkey").agg(F.min("n_nationkey").alias("found"))
+    return p.join(named, "p_partkey", "left").select("p_partkey", F.coalesce("id", "found").alias("channel")).where("channel is not null")
 
 
 @query("aux_14_known_keys", "SELECT lower(c_name) AS k, c_custkey AS id FROM customer UNION SELECT 'feed/' || c_nationkey || '/' || c_custkey, c_custkey FROM customer UNION SELECT 'ch' || c_custkey, c_custkey FROM customer WHERE c_acctbal > 0")

@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
+def kept_aside(df: DataFrame) -> DataFrame:
+    """df written as Parquet to a shared folder and read back: what is read several times is computed once, and a lost executor costs no recomputation."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())

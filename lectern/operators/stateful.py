@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,27 +16,43 @@ def anchors(times: Column, every: int = 60) -> Column:
     return F.aggregate(times, start, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= every), F.array_append(kept, t)).otherwise(kept))
 
 
+def overlap(said: Sequence[str], new: Sequence[str]) -> int:
+    """How many words at the end of said are the beginning of new, at most all of new; one pass over each, by the borders of new's beginnings."""
+    border = [0] * len(new)
+    for i in range(1, len(new)):
+        n = border[i - 1]
+        while n and new[n] != new[i]:
+            n = border[n - 1]
+        border[i] = n + (new[n] == new[i])
+    n = 0
+    for w in said if new else ():
+        while n and (n == len(new) or new[n] != w):
+            n = border[n - 1]
+        n += new[n] == w
+    return n
+
+
 def dedupe_rolling(segments: DataFrame, key: str = "id", pos: str = "pos", text: str = "text", keep: int = 40) -> DataFrame:
-    """STF-01: from each caption goes the longest beginning that ends the last keep words emitted; emptied captions go. One recording is one group."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(pos)
-        tail: list[str] = []
-        out = []
-        for line in rows[text]:
-            words = (line or "").split()
-            k = next((n for n in range(min(len(words), len(tail)), 0, -1) if tail[-n:] == words[:n]), 0)
-            new = words[k:]
-            tail = (tail + new)[-keep:]
-            out.append(" ".join(new))
-        return rows.assign(**{text: out})[lambda d: d[text] != ""]
-
-    return segments.groupBy(key).applyInPandas(fold, segments.schema)
-
-
-def interleave(rows: DataFrame, person: str, rank_in_person: Column, order: Column) -> DataFrame:
-    """WIN-08: round-robin over persons, each one's queue in its own order."""
-    return rows.withColumn("turn", rank_in_person).orderBy("turn", order)
+    """STF-01: from each caption goes the longest beginning that ends the last keep words emitted; emptied captions go.
+
+    Recordings lie sorted in their tasks and are streamed through; a task holds a batch and keep words, however long a recording is.
+    """
+
+    def fold(frames):
+        at, said = None, deque(maxlen=keep)
+        for frame in frames:
+            out = []
+            for k, line in zip(frame[key], frame[text], strict=True):
+                if k != at:
+                    at, said = k, deque(maxlen=keep)
+                words = (line or "").split()
+                words = words[overlap(said, words) :]
+                said.extend(words)
+                out.append(" ".join(words))
+            frame = frame.assign(**{text: out})
+            yield frame[frame[text] != ""]
+
+    return segments.repartition(key).sortWithinPartitions(key, pos).mapInPandas(fold, segments.schema)
 
 
 def blocks(rows: DataFrame, key: str, at: str, width: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import evidence as E
 from ..operators import relational as R
 from ..operators import stateful as S
 from ..streaming import stateful as ST
@@ -250,10 +251,10 @@ def _(t):
     return R.streaks(t("events").select("event_id", "user_id", "ts", "event_type"), "user_id", [F.col("ts"), F.col("event_id")], F.col("event_type") == "error").select("event_id", F.col("streak").cast("long").alias("streak"))
 
 
-@query("win_08_round_robin", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS INTEGER) AS turn FROM events")
+@query("win_08_round_robin", "WITH l AS (SELECT l_suppkey AS person, l_partkey AS item, min(l_orderkey) AS o FROM lineitem GROUP BY 1, 2), a AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY o, item) AS p FROM l), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY item ORDER BY p, person) = 1) SELECT item, person, CAST(row_number() OVER (PARTITION BY person ORDER BY p) AS INTEGER) AS turn FROM b")
 def _(t):
-    turn = F.row_number().over(Window.partitionBy("user_id").orderBy(*newest()))
-    return S.interleave(t("events").select("event_id", "user_id", "ts"), "user_id", turn, F.col("user_id")).select("event_id", "turn")
+    queues = t("lineitem").groupBy(F.col("l_suppkey").alias("person"), F.col("l_partkey").alias("item")).agg(F.min("l_orderkey").alias("o"))
+    return E.round_robin(queues, "person", "item", "o").select("item", "person", "turn")
 
 
 ANCHORS = """WITH RECURSIVE e AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS t FROM events WHERE ts IS NOT NULL),

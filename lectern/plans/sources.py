@@ -89,12 +89,15 @@ def _(t):
     return feeds.listing(primary, t("events").where("event_type = 'view'").select("user_id", "ts", "event_id"), "user_id", "ts")
 
 
-@query("src_10_json_captions", "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, turn * 7 AS t, role AS text FROM conversations")
-def _(t):
-    shape = [("segments", "start", "text"), ("cues", "startTime", "body"), (None, "offset", "content")]
-    one = F.coalesce(*[F.when(F.col("conv_id") % 3 == i, F.to_json(F.create_map(F.lit(at), (F.col("turn") * 7 + 0.5).cast("string"), F.lit(x), F.concat(F.lit(" "), "role")))) for i, (_, at, x) in enumerate(shape)])
-    rows = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("j")))), lambda r: r["j"]), ",").alias("j"))
-    body = F.coalesce(*[F.when(F.col("conv_id") % 3 == i, F.concat(F.lit(f'{{"{c}": [' if c else "["), "j", F.lit("]}" if c else "]"))) for i, (c, _, _) in enumerate(shape)])
+@query("src_10_json_captions", "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, turn * 7 AS t, role AS text, CASE WHEN conv_id % 4 = 1 THEN 's' || turn END AS speaker FROM conversations")
+def _(t):
+    # Four shapes by conversation: a known container, a container deep in other objects, a bare array, a container below another that holds no array.
+    shapes = [("start", "text", '{"segments": [', "]}"), ("startTime", "body", '{"meta": {"n": 1}, "page": {"inner": [{"cues": [', "]}]}}"), ("offset", "content", "[", "]"), ("begin", "utterance", '{"results": {"transcript": [', "]}}")]
+    which = lambda make: F.coalesce(*[F.when(F.col("conv_id") % 4 == i, make(*s)) for i, s in enumerate(shapes)])
+    spoken = F.when(F.col("conv_id") % 4 == 1, F.concat(F.lit("s"), "turn"))
+    cue = which(lambda at, x, *_: F.to_json(F.struct((F.col("turn") * 7 + 0.5).alias(at), F.concat(F.lit(" "), "role").alias(x), spoken.alias("speaker"))))
+    rows = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", cue.alias("j")))), lambda r: r["j"]), ",").alias("j"))
+    body = which(lambda _, __, head, tail: F.concat(F.lit(head), "j", F.lit(tail)))
     return transcripts.json_captions(rows.select("conv_id", body.alias("body")), "conv_id", "body")
 
 

@@ -75,20 +75,6 @@ def blocks(rows: DataFrame, key: str, at: str, width: int) -> DataFrame:
     return times.groupBy(key).applyInPandas(fold, f"{key} {kind}, block long, start long, n long")
 
 
-def spread(rows: DataFrame, item: str, source: str, category: str, score: str, starved: Column, followed: Column, *, limit: int, per_source: int = 2) -> DataFrame:
-    """STF-04: a budget of limit rows in turns: per source the best per_source; then half the budget to starved sources, the followed ones, one row of each category, and the rest by score.
-
-    Every turn is a rank, so the choice is one sort of rows by (turn, score, item); only the first limit rows of a turn can matter, whence each turn is cut to that before the last sort.
-    """
-    order = [F.col(score).desc(), F.col(item)]
-    capped = rows.withColumns({"_starved": starved, "_followed": followed, "_rank": F.row_number().over(Window.partitionBy(source).orderBy(*order))}).where(F.col("_rank") <= per_source)
-    best = capped.groupBy(category).agg(F.min_by(item, F.struct(-F.col(score), F.col(item))).alias("_best"))
-    x = capped.join(best, category).withColumn("_first", F.col(item) == F.col("_best"))
-    half = x.where("_starved").orderBy(*order).limit(limit // 2).select(item, F.lit(0).alias("_turn"))
-    x = x.join(half, item, "left").withColumn("turn", F.coalesce("_turn", F.when(F.col("_followed"), 1).when(F.col("_first"), 2).otherwise(3)))
-    return x.orderBy("turn", *order).limit(limit).select(item, source, category, score, "turn")
-
-
 def chunks(texts: DataFrame, key: str, text: str, size: int, anchor: str = "\n[") -> DataFrame:
     """STF-05: pieces of at most size characters, cut before the last anchor in the second half of the window, else hard; joined they are the text. Null and empty texts have no piece."""
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..operators import selection as SEL
 from ..operators import stateful as S
 from .queries import newest, query
 
@@ -227,16 +230,31 @@ def _(t):
     return S.blocks(e, "user_id", "s", 86400)
 
 
-SPREAD = """WITH c AS (SELECT event_id, user_id, event_type, CAST(trunc(value * 100) AS BIGINT) AS score, user_id % 10 = 0 AS starved, user_id % 7 = 0 AS followed FROM events),
-k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, event_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS r FROM c) WHERE r <= 2),
-h AS (SELECT event_id FROM k WHERE starved ORDER BY score DESC, event_id LIMIT 20)
-SELECT event_id, user_id, event_type, score, CASE WHEN event_id IN (SELECT event_id FROM h) THEN 0 WHEN followed THEN 1 WHEN place = 1 THEN 2 ELSE 3 END AS turn FROM k ORDER BY turn, score DESC, event_id LIMIT 40"""
+# Each turn's rows by place; then a walk over (turn, place) with what has been taken: a turn ends at its quota or its last row.
+SPREAD = """WITH RECURSIVE c AS (SELECT event_id, user_id, event_type, CAST(trunc(value * 100) AS BIGINT) AS score, user_id % 10 = 0 AS starved, user_id % 7 = 0 AS followed, CASE WHEN user_id % 4 > 0 THEN user_id % 13 END AS touched,
+  event_id % 5 AS lost, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1 AS newest, user_id % 21 = 0 AS pinned FROM events),
+f AS (SELECT * FROM (VALUES (2, 'error'), (3, 'purchase'), (4, 'signup')) v(turn, cat)),
+a AS MATERIALIZED (SELECT 0 AS turn, row_number() OVER (ORDER BY touched NULLS FIRST, score DESC, event_id) AS place, event_id, user_id, event_type FROM c WHERE starved
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY lost DESC, newest DESC, pinned DESC, score DESC, event_id), event_id, user_id, event_type FROM c WHERE followed
+  UNION ALL SELECT f.turn, row_number() OVER (PARTITION BY f.turn ORDER BY score DESC, event_id), event_id, user_id, event_type FROM c JOIN f ON f.cat = c.event_type
+  UNION ALL SELECT 5, row_number() OVER (ORDER BY score DESC, event_id), event_id, user_id, event_type FROM c),
+q AS (SELECT * FROM (VALUES (0, 20), (1, 6), (2, 2), (3, 2), (4, 2), (5, 40)) v(turn, quota)),
+s(turn, place, n, items, sources, got) AS (SELECT 0, CAST(1 AS BIGINT), 0, []::BIGINT[], []::BIGINT[], CAST(NULL AS BIGINT)
+  UNION ALL SELECT CASE WHEN over THEN turn + 1 ELSE turn END, CASE WHEN over THEN 1 ELSE place + 1 END, CASE WHEN over THEN 0 WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok THEN list_append(items, event_id) ELSE items END, CASE WHEN ok THEN list_append(sources, user_id) ELSE sources END, CASE WHEN ok THEN event_id END
+  FROM (SELECT s.*, a.event_id, CAST(a.user_id AS BIGINT) AS user_id, a.event_id IS NULL OR s.n >= q.quota AS over, a.event_id IS NOT NULL AND s.n < q.quota AND NOT list_contains(items, a.event_id) AND len(list_filter(sources, lambda x: x = a.user_id)) < 2 AS ok
+        FROM s JOIN q ON q.turn = s.turn LEFT JOIN a ON a.turn = s.turn AND a.place = s.place WHERE len(s.items) < 40))
+SELECT c.event_id, c.user_id, c.event_type, ['starved', 'followed', 'floor error', 'floor purchase', 'floor signup', 'rank'][s.turn + 1] AS turn, CAST(len(s.items) AS INTEGER) AS place FROM s JOIN c ON c.event_id = s.got"""
 
 
 @query("stf_04_spread", SPREAD)
 def _(t):
-    c = t("events").select("event_id", "user_id", "event_type", (F.col("value") * 100).cast("long").alias("score"))
-    return S.spread(c, "event_id", "user_id", "event_type", "score", F.col("user_id") % 10 == 0, F.col("user_id") % 7 == 0, limit=40)
+    e = t("events")
+    newest = e.groupBy("user_id").agg(F.min_by("event_id", F.struct(-F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id"))).alias("newest"))
+    c = e.join(newest, "user_id").withColumn("score", (F.col("value") * 100).cast("long"))
+    u = F.col("user_id")
+    before = SEL.turns(40, starved=u % 10 == 0, touched=F.when(u % 4 > 0, u % 13), followed=u % 7 == 0, lost=F.col("event_id") % 5, newest=F.col("event_id") == F.col("newest"), pinned=u % 21 == 0)
+    before[1] = replace(before[1], quota=6)  # so that the later turns have something to do at every size
+    return SEL.choose(c, "event_id", "user_id", "event_type", [(F.col("score"), True), (F.col("event_id"), False)], before, limit=40, floors=["error", "purchase", "signup"])
 
 
 CHUNKS = """WITH RECURSIVE r AS (SELECT doc_id, text, 0 AS pos, 0 AS a, 0 AS b FROM documents WHERE text <> ''

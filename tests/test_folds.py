@@ -25,14 +25,6 @@ def test_chunks_rejoin(spark):
     assert all(r.piece.startswith("\n[") for r in got if r.k == 1 and r.pos > 0)
 
 
-def test_spread_turns(spark):
-    rows = [(i, f"s{i % 5}", f"c{i % 3}", 100 - i) for i in range(30)]
-    df = spark.createDataFrame(rows, "i int, s string, c string, score int")
-    got = S.spread(df, "i", "s", "c", "score", F.col("s") == "s4", F.col("s") == "s3", limit=6).collect()
-    assert len(got) == 6 and [r.turn for r in got] == sorted(r.turn for r in got)
-    assert {r.s for r in got if r.turn == 0} == {"s4"} and {r.s for r in got if r.turn == 1} == {"s3"}
-
-
 def test_regroup(spark):
     df = spark.createDataFrame([("a", i, f"w{i}") for i in range(5)], "k string, i int, t string")
     assert [r.text for r in R.regroup(df, "k", ["i"], "t", 2).orderBy("block").collect()] == ["w0 w1", "w2 w3", "w4"]

@@ -43,15 +43,23 @@ def newest_first(items: DataFrame) -> DataFrame:
     return items.orderBy(F.col(NEWEST[0]).desc_nulls_last(), NEWEST[1])
 
 
-def found(items: DataFrame, query: str = "", show: str = "", cat: str = "") -> DataFrame:
-    """FLT-27: items in whose title, dek, show and tags every word of the query occurs, of one show (a part of its name or id) and category, if these are given."""
-    text = lambda *cs: F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in cs]))
-    hay = text(*[F.col(c) for c in ("title", "dek", "show")], F.array_join("tags", " "))
+def _text(*cs: str) -> Column:
+    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in cs], *([F.array_join("tags", " ")] if "title" in cs else [])))
+
+
+def haystack() -> Column:
+    """What a search of an item looks in: title, dek, show and tags, lower-cased."""
+    return _text("title", "dek", "show")
+
+
+def found(items: DataFrame, query: str = "", show: str = "", cat: str = "", hay: Column | None = None) -> DataFrame:
+    """FLT-27: items in whose haystack every word of the query occurs, of one show (a part of its name or id) and category, if these are given."""
+    hay = haystack() if hay is None else hay
     keep: Column = F.lit(True)
     for word in query.lower().split():
         keep = keep & F.contains(hay, F.lit(word))
     if show:
-        keep = keep & F.contains(text(F.col("show"), F.col("show_id")), F.lit(show.lower()))
+        keep = keep & F.contains(_text("show", "show_id"), F.lit(show.lower()))
     return items.where(keep & (F.col("cat") == cat) if cat else keep)
 
 
@@ -65,8 +73,10 @@ def shows(items: DataFrame, cat: str = "") -> DataFrame:
 class Server:
     """SNK-17: answers JSON-RPC messages about an index and, by slug, about whole items."""
 
-    def __init__(self, index: Kept, item: Callable[[str], DataFrame], name: str = "lectern"):
+    def __init__(self, index: Kept, item: Callable[[str], DataFrame], name: str = "lectern", search: Callable[[str, str, str], DataFrame] | None = None):
+        """search, if given, finds items by (query, show, cat) in place of a scan of the index: that of a SearchIndex."""
         self.index, self.item, self.name = index, item, name
+        self.search = search or (lambda query, show, cat: found(self.index.get(), query, show, cat))
         text, whole = {"type": "string"}, {"type": "integer", "default": 10}
         self.tools: dict[str, tuple[str, dict, list[str], Callable]] = {
             "search_episodes": ("Items in which all words occur, by show and category.", {"query": text, "show": text, "cat": text, "limit": whole}, [], self._search),
@@ -80,7 +90,7 @@ class Server:
         return [json.loads(x) for (x,) in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
 
     def _search(self, query: str = "", show: str = "", cat: str = "", limit: int = 10) -> dict:
-        hits = found(self.index.get(), query or "", show or "", cat or "")
+        hits = self.search(query or "", show or "", cat or "")
         return {"matched": hits.count(), "episodes": self._rows(newest_first(hits).limit(clamp(limit)))}
 
     def _item(self, slug: str) -> dict:

@@ -54,6 +54,23 @@ def _content(spark: SparkSession, path: str) -> str | None:
         source.close()
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in the folder at path; none if there is no such folder."""
+    p, fs = _path(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def put_new(spark: SparkSession, path: str, content: str = "") -> bool:
+    """Writes a small file unless it is there; whether it was written."""
+    try:
+        _create(spark, path, content, False)
+    except Exception as e:
+        if "already exists" in str(e):
+            return False
+        raise
+    return True
+
+
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The version of the table at path that was put there last; None if there is none."""
     version = _content(spark, f"{path}/{CURRENT}")
@@ -90,13 +107,7 @@ class Lock:
 
     def acquire(self) -> bool:
         """Whether the lock is this one's now; a second acquire of the holder is none."""
-        try:
-            _create(self.spark, self.path, self.owner, False)
-        except Exception as e:
-            if "already exists" in str(e):
-                return False
-            raise
-        return True
+        return put_new(self.spark, self.path, self.owner)
 
     def holder(self) -> str | None:
         return _content(self.spark, self.path)

@@ -104,3 +104,23 @@ def leads(replies: DataFrame, reply: str, existing: DataFrame, name: str, *, mos
     x = replies.select(F.explode(F.slice(held, 1, most)).alias("l")).select(squeezed(F.col("l.name"), longest).alias("name"), squeezed(F.col("l.why"), why).alias("why"))
     known = existing.select(F.col(name).alias("name"))
     return x.where("name != ''").groupBy("name").agg(F.min("why").alias("why")).join(known, "name", "left_anti")
+
+
+def slot_runs(events: DataFrame, job: str, at: str, slot: str, tick: str, code: str, busy: str, *, most: int = 3, down: Sequence[int] = (75,)) -> DataFrame:
+    """STR-12: (job, at, run, tries) of every tick: whether it starts a run of its slot, and how often the slot has been tried by then.
+
+    Other events are heartbeats with an exit code. A slot whose last heartbeat says 0 is done. One that says the model is down is tried again without
+    end; otherwise a slot is tried most times. Busy ticks start nothing. Counts of ticks before decide, no loop: a try that the limit counts runs
+    while earlier ones, of both kinds, are under most, and as their number only grows, all of the limited ones before it have run.
+    """
+    w = Window.partitionBy(job, slot).orderBy(at, tick)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    beat = F.last(F.when(~F.col(tick), F.struct(F.col(code).alias("c"))), ignorenulls=True).over(before)["c"]
+    x = events.withColumn("_code", beat)
+    free = F.col(tick) & ~F.coalesce(F.col(busy), F.lit(False)) & F.coalesce(F.col("_code") != 0, F.lit(True))
+    again = F.coalesce(F.col("_code").isin(*down), F.lit(False))
+    x = x.withColumns({"_down": (free & again).cast("int"), "_try": (free & ~again).cast("int")})
+    tried = F.coalesce(F.sum(F.col("_down") + F.col("_try")).over(before), F.lit(0))
+    x = x.withColumn("run", (F.col("_down") == 1) | ((F.col("_try") == 1) & (tried < most)))
+    x = x.withColumn("tries", F.sum(F.col("run").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    return x.where(F.col(tick)).select(job, at, "run", "tries")

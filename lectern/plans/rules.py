@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as C
 from ..functions import text as T
-from ..operators import containment as C
+from ..operators import containment
 from ..operators import ledgers as L
 from ..operators import relational as R
 from ..operators import states as S
+from ..sinks import batches, tables
 from .queries import query
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -64,12 +65,38 @@ def _(t):
     return S.upserted(once, newer, "o_custkey", "o_orderkey")  # a second run changes nothing
 
 
+@query("str_09_replayed", "SELECT o_custkey, max(o_orderkey) AS o_orderkey, count(*) AS orders FROM orders GROUP BY 1")
+def _(t):
+    # Three batches, the first and the last of which come again with other rows: what has been published once stays.
+    o = t("orders").select("o_custkey", "o_orderkey")
+    ledger = batches.Ledger(o.sparkSession, tables.shared_folder(o.sparkSession))
+    for i, batch in ((0, 0), (1, 1), (0, 0), (2, 2), (1, 2)):
+        ledger.write(o.where(F.col("o_orderkey") % 3 == i), batch)
+    last = ledger.latest("o_custkey", lambda: F.col("o_orderkey"))
+    return last.join(ledger.rows().groupBy("o_custkey").agg(F.count("*").alias("orders")), "o_custkey")
+
+
 @query("str_10_cooldown", f"SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 80 AND ts > {NOW} - INTERVAL 10 DAY)")
 def _(t):
     rejected = t("events").where("event_type = 'error' AND value > 80").select(F.col("user_id").alias("c_custkey"), "ts")
     return S.cooled(t("customer").select("c_custkey"), rejected, "c_custkey", "ts", now(), 10)
 
 
+RUNS = """WITH e AS (SELECT event_id, user_id % 7 AS job, ts, date_trunc('hour', ts) - to_hours((CAST(hour(ts) AS INTEGER) + 18) % 12) AS slot, event_id % 3 > 0 AS tick, [0, 1, 75][CAST(event_id % 9 // 3 AS INTEGER) + 1] AS code, event_id % 10 = 0 AS busy FROM events WHERE ts IS NOT NULL),
+b AS (SELECT *, last_value(CASE WHEN NOT tick THEN code END IGNORE NULLS) OVER (PARTITION BY job, slot ORDER BY ts, tick, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS beat FROM e),
+k AS (SELECT *, tick AND NOT busy AND coalesce(beat, 1) <> 0 AS free, coalesce(beat, 1) = 75 AS down FROM b),
+n AS (SELECT *, coalesce(sum(CAST(free AS INTEGER)) OVER (PARTITION BY job, slot ORDER BY ts, tick, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT event_id, free AND (down OR before < 3) AS run, CAST(sum(CASE WHEN free AND (down OR before < 3) THEN 1 ELSE 0 END) OVER (PARTITION BY job, slot ORDER BY ts, tick, event_id) AS INTEGER) AS tries FROM n WHERE tick"""
+
+
+@query("str_12_runs", RUNS)
+def _(t):
+    e = t("events").where("ts is not null")
+    code = F.element_at(F.array(F.lit(0), F.lit(1), F.lit(75)), (F.floor(F.col("event_id") % 9 / 3) + 1).cast("int"))
+    rows = e.select((F.col("user_id") % 7).alias("job"), F.struct("ts", (F.col("event_id") % 3 > 0).alias("t"), "event_id").alias("at"), S.slot_of(F.col("ts").cast("timestamp"), (6, 18)).alias("slot"), (F.col("event_id") % 3 > 0).alias("tick"), code.alias("code"), (F.col("event_id") % 10 == 0).alias("busy"))
+    return S.slot_runs(rows, "job", "at", "slot", "tick", "code", "busy").select("at.event_id", "run", "tries")
+
+
 @query("str_12_slots", "SELECT event_id, CASE WHEN hour(ts) >= 18 THEN date_trunc('day', ts) + INTERVAL 18 HOUR WHEN hour(ts) >= 6 THEN date_trunc('day', ts) + INTERVAL 6 HOUR ELSE date_trunc('day', ts) - INTERVAL 6 HOUR END AS slot FROM events")
 def _(t):
     return t("events").select("event_id", S.slot_of(F.col("ts").cast("timestamp"), (6, 18)).cast("timestamp_ntz").alias("slot"))
@@ -261,7 +288,7 @@ def _(t):
     # By id where it is known, else by name: of two names, either may hold the other.
     p = t("part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.col("p_size") % 25).alias("id"), F.concat(F.lit("nation_"), "p_size").alias("said"))
     n = t("nation").select("n_nationkey", F.lower("n_name").alias("name"))
-    named = C.same_names(p, n, "p_partkey", "said", "n_nationkey", "name").groupBy("p_partkey").agg(F.min("n_nationkey").alias("found"))
+    named = containment.same_names(p, n, "p_partkey", "said", "n_nationkey", "name").groupBy("p_partkey").agg(F.min("n_nationkey").alias("found"))
     return p.join(named, "p_partkey", "left").select("p_partkey", F.coalesce("id", "found").alias("channel")).where("channel is not null")
 
 

@@ -44,8 +44,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's shard and place in it; equal texts stay together. Columns named like these results are replaced."""
-    return sharding.shard_documents(docs, keep=[c for c in docs.columns if c != "text"])
+    """Every document's shard and place in it, with the document; equal texts stay together, and in each shard documents follow the training positions
+    by which the mix laid them out. Columns named like these results are replaced."""
+    return sharding.shard_in_order(docs)
 
 
 #: The stages, in order. Each takes (spark, docs, sf_dir).

@@ -216,14 +216,15 @@ def shard_in_order(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = identified(docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)]))
     body = F.coalesce(F.col(f"_c{names.index(text)}"), F.lit("")).cast("binary")
     hub = F.when(F.col(f"_c{names.index(text)}").isNotNull(), F.md5(body))
-    # Files are named by the number of their task, in the order of the rows, and by their number where a task wrote several.
-    number = lambda what: F.coalesce(F.regexp_extract("_file", what, 1).try_cast("long"), F.lit(0))
-    task, part = number(r"part-(\d+)[^/]*$"), number(r"-c(\d+)[^/]*$")
-    slim = rows.select(F.monotonically_increasing_id().alias("rid"), "_file", "_row", task.alias("b1"), part.alias("b2"), F.floor(F.col("_row") / (n_shards * rows_per_bucket)).alias("b3"), hub.alias("hub"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+    # Files are named by the number of their task, in the order of the rows; a bucket is a stretch of a file's rows.
+    task = F.coalesce(F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1).try_cast("long"), F.lit(0))
+    bucket = task * F.lit(1 << 20) + F.floor(F.col("_row") / (n_shards * rows_per_bucket))
+    slim = rows.select(F.monotonically_increasing_id().alias("rid"), "_file", "_row", bucket.alias("b"), hub.alias("hub"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     slim = materialize(slim)
-    placed = shard(slim.select("rid"), slim.select("rid", "hub"), n_shards=n_shards, rows_per_bucket=rows_per_bucket).select("rid", "shard")
-    slots = numbered(slim.join(placed, "rid").drop("rid", "hub"), ["shard"], ["b1", "b2", "b3"], ["_file", "_row"], "slot")
-    slots = slots.select("_file", "_row", "size", "text_crc32", "shard", "slot")
+    placed = materialize(shard(slim.select("rid"), slim.select("rid", "hub"), n_shards=n_shards, rows_per_bucket=rows_per_bucket).select("rid", "shard"))
+    slots = numbered(slim.join(placed, "rid").drop("rid", "hub"), ["shard"], ["b"], ["_file", "_row"], "slot")
+    slots = materialize(slots.select("_file", "_row", "size", "text_crc32", "shard", "slot"))
+    discard(slim, placed)
     made = [F.col("size"), F.col("text_crc32"), F.lit("rows").alias("law"), F.col("shard"), F.col("slot"), F.lit(None).cast("int").alias("grown_shard")]
     out = rows.join(slots.hint("shuffle_hash"), ["_file", "_row"]).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], *made)
     return out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import forms as X
+from ..functions import phrases as P
 from ..functions import numbers as N
 from ..functions import text as T
 from .queries import query
@@ -37,6 +38,18 @@ def _(t):
     return t("part").select("p_partkey", X.converted(F.translate("p_name", "abegl", "门国学语东"), SCRIPT).alias("name"))
 
 
+@query("str_f14_phrases", "SELECT doc_id, replace(replace(replace(replace(text, 'the', '[1]'), 'th', '[2]'), 'er', '[3]'), 'e', '[4]') AS text FROM documents")
+def _(t):
+    # Of the phrases that begin at a place the longest is taken: `the` before `th`, `er` before `e`.
+    return t("documents").select("doc_id", P.converted(F.col("text"), {"e": "[4]", "th": "[2]", "er": "[3]", "the": "[1]"}).alias("text"))
+
+
+@query("snk_04_two_scripts", "WITH n AS (SELECT p_partkey, translate(p_name, 'abegl', '门国学语东') AS n, lower(p_type) AS y FROM part), o AS (SELECT *, translate(array_to_string(regexp_extract_all(n, '[一-鿿]+'), ' '), '门国学语东', '門國學語東') AS other FROM n) SELECT p_partkey, substr(n || ' ' || y, 1, 12) || CASE WHEN other <> '' THEN ' ' || other ELSE '' END AS hay FROM o")
+def _(t):
+    name = F.translate("p_name", "abegl", "门国学语东")
+    return t("part").select("p_partkey", P.search_row([name], [F.col("p_type")], SCRIPT, longest=12).alias("hay"))
+
+
 @query("str_f15_both_scripts", f"SELECT p_partkey, n || ' ' || array_to_string(list_transform(regexp_extract_all(n, '[一-鿿]+'), lambda x: translate(x, '门国学语东', '門國學語東')), ' ') AS name FROM (SELECT p_partkey, {HAN_NAMES} AS n FROM part) WHERE regexp_matches(n, '[一-鿿]')")
 def _(t):
     n = F.translate("p_name", "abegl", "门国学语东")

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import rankings as K
 from ..operators import relational as R
 from ..operators import selection as SEL
 from ..operators import stateful as S
@@ -277,3 +278,16 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS until, count(*) A
 def _(t):
     e = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     return e.groupBy(F.session_window("ts", "2 hours").alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("until"), "n")
+
+
+@query("flt_01_rules", "WITH i AS (SELECT doc_id, source, text, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 365 AS INTEGER)) AS pub, CASE WHEN doc_id % 3 > 0 THEN n_chars END AS secs FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pub DESC, doc_id) AS rn FROM i) SELECT doc_id, source FROM f WHERE rn <= 60 AND pub >= TIMESTAMP '2024-12-01' AND NOT contains(lower(coalesce(text, '')), 'thation') AND NOT contains(lower(coalesce(text, '')), 'chung') AND (coalesce(secs, 0) = 0 OR secs >= 480) AND coalesce(secs, 0) <= 6000")
+def _(t):
+    d = t("documents").select("doc_id", "source", "text", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).cast("timestamp").alias("at"), F.when(F.col("doc_id") % 3 > 0, F.col("n_chars")).alias("secs"))
+    found = K.candidates(d, "source", [F.col("at").desc(), F.col("doc_id")], title="text", published="at", seconds="secs", now=F.lit("2024-12-31").cast("timestamp"), days=30, skip=("Thation", "chung"), minutes=100)
+    return found.select("doc_id", "source")
+
+
+@query("agg_02_pinned_first", "WITH h AS (SELECT user_id, count(*) AS n, count(*) FILTER (CAST(ts AS DATE) >= DATE '2024-01-23') AS recent, max(ts) AS ts FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL GROUP BY 1), k AS (SELECT c_custkey, c_custkey % 97 = 0 AS pinned, n, recent, CAST(ts AS DATE) AS latest, ts FROM customer JOIN h ON user_id = c_custkey WHERE c_custkey % 97 = 0 OR CAST(ts AS DATE) >= DATE '2023-12-01'), p AS (SELECT *, CAST(row_number() OVER (ORDER BY pinned DESC, n DESC, latest DESC, ts DESC, c_custkey) AS INTEGER) AS place FROM k) SELECT c_custkey, pinned, n, recent, latest, place FROM p WHERE pinned OR place <= 24")
+def _(t):
+    registry = t("customer").select("c_custkey", (F.col("c_custkey") % 97 == 0).alias("pin"))
+    return K.hot_sources(t("events"), registry, "user_id", "ts", "c_custkey", "pin", today=F.lit("2024-01-30").cast("date"))

@@ -35,14 +35,15 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _create(spark: SparkSession, path: str, content: str, overwrite: bool) -> None:
+def _create(spark: SparkSession, path: str, text: str, overwrite: bool) -> None:
     p, fs = _path(spark, path)
     out = fs.create(p, overwrite)
-    out.write(bytearray(content.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
 
 
-def _content(spark: SparkSession, path: str) -> str | None:
+def content(spark: SparkSession, path: str) -> str | None:
+    """The whole of a small file; None if there is none."""
     p, fs = _path(spark, path)
     if not fs.exists(p):
         return None
@@ -60,10 +61,15 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def put_new(spark: SparkSession, path: str, content: str = "") -> bool:
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file over what is there."""
+    _create(spark, path, text, True)
+
+
+def put_new(spark: SparkSession, path: str, text: str = "") -> bool:
     """Writes a small file unless it is there; whether it was written."""
     try:
-        _create(spark, path, content, False)
+        _create(spark, path, text, False)
     except Exception as e:
         if "already exists" in str(e):
             return False
@@ -73,7 +79,7 @@ def put_new(spark: SparkSession, path: str, content: str = "") -> bool:
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The version of the table at path that was put there last; None if there is none."""
-    version = _content(spark, f"{path}/{CURRENT}")
+    version = content(spark, f"{path}/{CURRENT}")
     return None if version is None else spark.read.parquet(f"{path}/{version}")
 
 
@@ -84,7 +90,7 @@ def replace(df: DataFrame, path: str) -> DataFrame:
     old table or the new one, and a writer that is lost before leaves the old one. The version before the last stays for readers that have begun; older ones go.
     """
     spark = df.sparkSession
-    before, version = _content(spark, f"{path}/{CURRENT}"), f"v-{uuid.uuid4().hex}"
+    before, version = content(spark, f"{path}/{CURRENT}"), f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
     _create(spark, f"{path}/{CURRENT}.{version}", version, True)
     hadoop = spark._jvm.org.apache.hadoop.fs
@@ -110,7 +116,7 @@ class Lock:
         return put_new(self.spark, self.path, self.owner)
 
     def holder(self) -> str | None:
-        return _content(self.spark, self.path)
+        return content(self.spark, self.path)
 
     def release(self) -> None:
         """Deletes the lock if it is still this one's."""

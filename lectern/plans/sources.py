@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import relational as R
-from ..sources import feeds, scans, transcripts
+from ..sinks import pages, snapshots, tables
+from ..sources import feeds, revisions, scans, transcripts
 from .queries import query
 
 CUT = "CASE WHEN event_id % 7 = 0 THEN substr(props, 1, length(props) - 1) ELSE props END"
@@ -164,6 +165,28 @@ def _(t):
     return j.select("k", F.coalesce("ours", F.lit(False)).alias("ours"), F.coalesce("theirs", F.lit(False)).alias("theirs")).where("not (ours and theirs)")
 
 
+LINES = "WITH c AS (SELECT c_custkey // 100 AS b, c_custkey, c_nationkey, c_mktsegment FROM customer), f AS (SELECT (b // 100) || '/' || b || '.txt' AS path, b, string_agg(c_custkey || '|' || c_nationkey || chr(10), '' ORDER BY c_custkey) AS one, string_agg(c_custkey || '|' || c_mktsegment || chr(10), '' ORDER BY c_custkey) AS two FROM c GROUP BY b), v AS (SELECT path, CASE WHEN b % 5 <> 0 THEN one END AS old, CASE WHEN b % 7 <> 0 THEN CASE WHEN b % 3 = 0 THEN two ELSE one END END AS new FROM f)"
+
+
+def blob_of(column: str) -> str:
+    return f"CASE WHEN {column} IS NOT NULL THEN sha1('blob ' || strlen({column}) || chr(0) || {column}) END"
+
+
+@query("src_24_git_changes", f"{LINES} SELECT path, {blob_of('old')} AS before, {blob_of('new')} AS after, new AS content FROM v WHERE old IS DISTINCT FROM new")
+def _(t):
+    # Two commits of a repository, a file for each hundred customers: some files are new in the second, some gone, some differ.
+    c = t("customer").withColumn("b", F.floor(F.col("c_custkey") / 100))
+    lines = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", F.concat("c_custkey", F.lit("|"), x, F.lit("\n")).alias("l")))), lambda r: r["l"]), "")
+    files = c.groupBy("b").agg(lines("c_nationkey").alias("one"), lines("c_mktsegment").alias("two")).withColumn("path", F.concat(F.floor(F.col("b") / 100), F.lit("/"), "b", F.lit(".txt")))
+    as_file = lambda x: F.encode(x, "utf-8").alias("body")
+    spark = c.sparkSession
+    repo = tables.shared_folder(spark)
+    old = snapshots.committed(files.where("b % 5 <> 0").select("path", as_file(F.col("one"))), repo, "before")
+    new = snapshots.committed(files.where("b % 7 <> 0").select("path", as_file(F.when(F.col("b") % 3 == 0, F.col("two")).otherwise(F.col("one")))), repo, "after", (old,))
+    rows = revisions.with_bodies(revisions.changes(spark, repo, old, new), repo, "after")
+    return rows.select("path", "before", "after", F.decode("body", "utf-8").alias("content"))
+
+
 @query("snk_02_new_records", "SELECT min(doc_id) AS doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source")
 def _(t):
     # An item that is on disk is never written again; of new ones with one name, the first.
@@ -206,6 +229,26 @@ def _(t):
     return t("lineitem").select(F.col("l_partkey").alias("k")).distinct().join(t("part").where("p_size > 5").select(F.col("p_partkey").alias("k")), "k", "left_anti")
 
 
+LISTED = "WITH r AS (SELECT p_brand AS b, p_partkey AS k, p_name, (row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) - 1) // 24 + 1 AS page, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS n FROM part WHERE p_size > 5)"
+
+
+@query("snk_10_published", f"{LISTED} SELECT replace(b, '#', '-') || '/page-' || page || '.html' AS path, '<ol>' || string_agg('<li id=' || k || '>' || p_name || '</li>', '' ORDER BY n) || '</ol>' AS html FROM r GROUP BY b, page")
+def _(t):
+    # Lists of each brand, 24 rows a file. All parts are published, then those over size 5: what files the second has no rows for are gone.
+    w = Window.partitionBy("p_brand").orderBy(F.col("p_size").desc(), "p_partkey")
+    item = F.concat(F.lit("<li id="), "p_partkey", F.lit(">"), "p_name", F.lit("</li>"))
+
+    def listed(parts):
+        x = parts.select("p_brand", F.row_number().over(w).alias("n"), item.alias("i"))
+        rows = x.groupBy(F.concat(F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("/page-"), F.floor((F.col("n") - 1) / 24) + 1, F.lit(".html")).alias("path")).agg(F.array_sort(F.collect_list(F.struct("n", "i"))).alias("x"))
+        return rows.select("path", F.concat(F.lit("<ol>"), F.array_join(F.transform("x", lambda r: r["i"]), ""), F.lit("</ol>")).alias("html"))
+
+    root = tables.shared_folder(t("part").sparkSession)
+    for parts in (t("part"), t("part").where("p_size > 5")):
+        pages.publish(listed(parts), root)
+    return pages.published(t("part").sparkSession, root)
+
+
 @query("snk_13_trace", "WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events) SELECT user_id, event_id FROM r WHERE n <= 40 AND ts >= TIMESTAMP '2024-01-20'")
 def _(t):
     kept = R.newest_per(t("events").select("user_id", "event_id", "ts"), "user_id", [F.col("ts").desc(), F.col("event_id")], 40)

@@ -55,6 +55,12 @@ def content(spark: SparkSession, path: str) -> str | None:
         source.close()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its file system, as Spark's file sources give it."""
+    p, fs = _path(spark, path)
+    return fs.makeQualified(p).toString().rstrip("/")
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """Names of the files and folders in the folder at path; none if there is no such folder."""
     p, fs = _path(spark, path)

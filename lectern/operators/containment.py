@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,14 +99,18 @@ def quoted(texts: DataFrame, quotes: DataFrame, text_key: str, text: str, quote_
     return contained(texts.select(text_key, normal(F.col(text)).alias("_hay")), asked, text_key, "_hay", quote_key, "_r", hot=hot)
 
 
-def mentions(bodies: DataFrame, titles: DataFrame, by: str, key: str, body: str, title: str, *, long: int = 18, hot: int = HOT) -> DataFrame:
-    """JOIN-13: (key, mentions, chars) of each body: how many titles of other items of its group it holds; short titles don't count, equal ones count once."""
+def mentions(bodies: DataFrame, titles: DataFrame, by: str, key: str, body: str, title: str, *, title_key: str | None = None, item: Callable[[Column], Column] = lambda k: k, long: int = 18, hot: int = HOT) -> DataFrame:
+    """JOIN-13: (key, mentions, chars) of each body: how many titles of other items of its group it holds; short titles don't count, equal ones count once.
+
+    Where an item has several bodies, titles have its key in title_key, and item gives it from a body's key.
+    """
+    titles = titles.select(by, F.col(title_key or key).alias(key), title)
     own = titles.where((F.length(title) >= long) & F.col(key).isNotNull()).select(by, F.lower(title).alias("_title"), key)
     # A title is the body's own only if no other item of the group has it.
     heads = own.groupBy(by, "_title").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
     named = kept_aside(heads.select(F.struct(by, "_title").alias("_id"), F.array("_title").alias("_runs"), by, "_lo", "_hi"))
     found = contained(bodies.select(key, by, F.lower(body).alias("_body")), named, key, "_body", "_id", "_runs", by=by, hot=hot)
-    others = found.join(named.select("_id", "_lo", "_hi"), "_id").where((F.col("_lo") != F.col(key)) | (F.col("_hi") != F.col(key)))
+    others = found.join(named.select("_id", "_lo", "_hi"), "_id").where((F.col("_lo") != item(F.col(key))) | (F.col("_hi") != item(F.col(key))))
     counted = others.groupBy(key).agg(F.count("*").alias("mentions"))
     return bodies.select(key, F.length(body).alias("chars")).join(counted, key, "left").select(key, F.coalesce("mentions", F.lit(0)).alias("mentions"), "chars")
 

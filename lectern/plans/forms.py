@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import forms as X
-from ..functions import phrases as P
+from ..functions import markup
 from ..functions import numbers as N
+from ..functions import phrases as P
 from ..functions import text as T
 from .queries import query
 
@@ -80,6 +81,12 @@ def _(t):
     return quotes.select("l_orderkey", X.english_source(F.col("quotes")).alias("english"))
 
 
+@query("str_f27_runs")
+def _(t):
+    rows = t("pages").select("page_id", F.posexplode(markup.visible_runs(F.col("html"), skip=(*markup.UNREAD, "nav"), spoken="de")).alias("pos", "r"))
+    return rows.select("page_id", "pos", "r.where", "r.text")
+
+
 @query("str_f27_visible", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(head|nav|footer)\b.*?</(head|nav|footer)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n\f\v]+', ' ', 'g')) AS text FROM pages")
 def _(t):
     return t("pages").select("page_id", X.visible(F.col("html"), skip=("head", "nav", "footer")).alias("text"))

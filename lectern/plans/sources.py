@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
 from ..operators import relational as R
 from ..sinks import pages, snapshots, tables
 from ..sources import feeds, revisions, scans, transcripts
@@ -111,6 +112,13 @@ def _(t):
     return transcripts.page_body(t("pages"), "page_id", "html")
 
 
+@query("src_13_page_transcripts")
+def _(t):
+    # A page's title is its item's, its host the show; the length of two in three is known.
+    p = t("pages").select("page_id", "html", X.url_host(F.col("url")).alias("host"), F.nullif(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), F.lit("")).alias("title"), (F.col("page_id") % 3 * 60).alias("seconds"))
+    return transcripts.page_transcripts(p, "page_id", "html", "title", "seconds", "host", per_minute=(20, 400), least=60, markup_least=300)
+
+
 @query("src_14_official_link", "SELECT l_orderkey, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_shipmode_ WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END, l_partkey * 100000 + l_linenumber * 1000 + l_quantity) = 1".replace("l_shipmode_", "l_returnflag"))
 def _(t):
     links = t("lineitem").withColumn("order", F.col("l_partkey") * 100000 + F.col("l_linenumber") * 1000 + F.col("l_quantity"))

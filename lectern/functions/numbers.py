@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -83,16 +84,51 @@ def normal(text: str) -> str:
     return re.sub(r"[\s\-‐-―]+", " ", text.lower())
 
 
+#: Words that numbers are said in, beside digits and Han digits.
+SAID = sorted({*UNITS, *TENS, *(name for name, _ in SPOKEN), *" ".join(FRACTIONS.values()).split(), "and", "point", "oh", "a"}, key=len, reverse=True)
+TOKEN = re.compile(rf"(?<![\w.,])(?:[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?|{'|'.join(SAID)}|[{HAN}十]+)(?!\w|[.,]\d)")
+
+
+class Spoken:
+    """The number words of a text, read once, with the places of each; a number is in the text if the words of one of its forms follow each other there."""
+
+    def __init__(self, text: str):
+        hay = f" {normal(text)} "
+        self.words: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        end = -1
+        for m in TOKEN.finditer(hay):
+            if m.start() != end + 1 or hay[end] != " ":
+                self.words.append("")  # other words stand between
+            self.places.setdefault(m[0], []).append(len(self.words))
+            self.words.append(m[0])
+            end = m.end()
+
+    def holds(self, form: list[str]) -> bool:
+        rarest = min(range(len(form)), key=lambda i: len(self.places.get(form[i], ())))
+        return any(p >= rarest and self.words[p - rarest : p - rarest + len(form)] == form for p in self.places.get(form[rarest], ()))
+
+
+@functools.lru_cache(maxsize=1024)
+def forms(x: float) -> list[list[str]]:
+    """The words of each rendering of a number."""
+    return [form.split(" ") for form in renderings(x)]
+
+
+@functools.lru_cache(maxsize=1)
+def spoken(text: str) -> Spoken:
+    """The last text's words are kept, as its values follow each other."""
+    return Spoken(text)
+
+
 def grounded(value: str | None, text: str | None) -> bool:
     """NUM-01: every number of value occurs in text in some rendering, as whole words; a scale word up to 12 characters after it multiplies it. True if value has no digits; null counts as empty."""
-    hay = f" {normal(text or '')} "
     value = value or ""
     for m in NUMBER.finditer(value):
         x = float(m.group().replace(",", ""))
         ahead = NUMBER.split(value[m.end() : m.end() + 12])[0]
         scale = SCALE.search(ahead)
-        forms = renderings(x * SCALES[scale.group().lower()]) if scale else []
-        if not any(re.search(rf"(?<![\w.,]){re.escape(f)}(?!\w|[.,]\d)", hay) for f in forms + ([] if scale else renderings(x))):
+        if not any(map(spoken(text or "").holds, forms(x * SCALES[scale.group().lower()] if scale else x))):
             return False
     return True
 

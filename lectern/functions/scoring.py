@@ -53,3 +53,34 @@ def completed(rows: DataFrame, key: str, prompt: str, answer: Callable[[int, str
 def answers_late(i: int, prompt: str, n: int) -> str:
     """An answerer for tests: the prompt itself at its (i % 4)-th try."""
     return prompt if n == i % 4 else "I think so"
+
+
+def counting(prompts: list[str], attempt: int) -> list[str | Exception | None]:
+    """A backend for tests that counts: of prompts whose length leaves 3 by 7 it fails, by 5 it answers junk, by 2 it answers at the second try only."""
+    out: list[str | Exception | None] = []
+    for p in prompts:
+        n = len(p)
+        if n % 7 == 3:
+            out.append(ConnectionError("gone"))
+        elif n % 7 == 5 or (n % 7 == 2 and attempt == 0):
+            out.append("I think so")
+        else:
+            spaces = p.count(" ")
+            reply = {"score": spaces % 13 - 1, "why": f" {n}  long ", "kind": "core" if spaces % 2 else "other", "cat": ("core", " other", "??")[spaces % 3], "verdict": "fine", "dims": {"density": n % 10, "faithful": spaces % 10}, "notes": [str(n)]}
+            out.append(f"Here it is: {json.dumps(reply)}")
+    return out
+
+
+def adding(prompts: list[str], attempt: int) -> list[str]:
+    """A backend for tests: of notes that are numbers, how many there are and their sum; of other prompts, their length as a note."""
+    out = []
+    for p in prompts:
+        notes = [int(x) for x in json.loads(p)["notes"]] if p.startswith('{"notes":') else None
+        out.append(json.dumps({"notes": [str(len(p))]} if notes is None else {"n": len(notes), "sum": sum(notes)}))
+    return out
+
+
+def suspecting(prompts: list[str], attempt: int) -> list[str]:
+    """A backend for tests: of numbered lines, reports a 77 in those that have one, and in the others something they don't hold."""
+    lines = [[line.partition(". ") for line in p.split("\n")] for p in prompts]
+    return [json.dumps({"bad": [{"i": int(i), "s": "77" if "77" in text else "none such"} for i, _, text in x]}) for x in lines]

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import containment
 from ..operators import ledgers as L
 from ..operators import relational as R
+from ..operators import scorers
 from ..operators import states as S
 from ..sinks import batches, tables
 from .queries import query
@@ -146,6 +147,38 @@ def _(t):
     return C.scored(t("documents").select("doc_id", "text"), "doc_id", "text", C.by_length, "r1")
 
 
+COUNTED = "WITH d AS (SELECT doc_id, source, length(text) AS n, length(text) - length(replace(text, ' ', '')) AS spaces FROM documents), s AS (SELECT *, n IS NOT NULL AND n % 7 NOT IN (3, 5) AS ok, greatest(0, least(10, spaces % 13 - 1))::DOUBLE AS s, CASE WHEN n IS NULL THEN 'no prompt' WHEN n % 7 = 3 THEN 'ConnectionError: gone' WHEN n % 7 = 5 THEN 'no JSON object' END AS error FROM d)"
+
+
+@query("udf_02_asked", f"{COUNTED} SELECT doc_id, CASE WHEN ok THEN s END AS score, CASE WHEN ok THEN n || ' long' END AS why, CASE WHEN ok THEN CASE WHEN spaces % 2 = 1 THEN 'core' ELSE 'other' END END AS kind, CASE WHEN ok THEN source END AS basis, CASE WHEN ok THEN 'r1' END AS rubric, error FROM s")
+def _(t):
+    return scorers.triaged(t("documents").select("doc_id", "text", "source"), "doc_id", "text", "source", C.counting, "r1")
+
+
+@query("udf_03_asked", f"{COUNTED} SELECT doc_id, CASE WHEN ok AND spaces % 3 = 0 THEN 'core' WHEN ok AND spaces % 3 = 1 THEN 'other' ELSE source END AS cat FROM s")
+def _(t):
+    return scorers.categorised(t("documents").select("doc_id", "text", "source"), "doc_id", "text", "source", ("core", "other"), C.counting)
+
+
+@query("udf_04_digested", "SELECT doc_id, CASE WHEN n > 2000 THEN ceil(n / 1000.0)::BIGINT END AS pieces, n AS chars FROM (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL)")
+def _(t):
+    got = scorers.digested(t("documents").select("doc_id", "text"), "doc_id", "text", C.adding, chars=2000, piece=1000, anchor="\x00")
+    alone = F.get(F.from_json(scorers.said("notes"), "array<string>"), 0)
+    return got.select("doc_id", scorers.said("n").cast("long").alias("pieces"), F.coalesce(scorers.said("sum"), alone).cast("long").alias("chars"))
+
+
+@query("udf_05_asked", "WITH q AS (SELECT DISTINCT l_orderkey, l_partkey, 'part ' || l_partkey AS quote FROM lineitem), n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM q) SELECT l_orderkey, l_partkey, quote, CASE WHEN n > 1 AND contains(quote, '77') THEN '77' END AS garbled FROM n")
+def _(t):
+    quotes = t("lineitem").select("l_orderkey", "l_partkey", F.concat(F.lit("part "), "l_partkey").alias("quote")).distinct()
+    return scorers.ungarbled(quotes, "l_orderkey", "l_partkey", "quote", C.suspecting)
+
+
+@query("udf_06_asked", f"{COUNTED} SELECT doc_id, CASE WHEN ok THEN s END AS score, CASE WHEN ok THEN (n % 10)::DOUBLE END AS density, CASE WHEN ok THEN (spaces % 10)::DOUBLE END AS faithful, CASE WHEN ok THEN 'fine' END AS verdict, error FROM s")
+def _(t):
+    got = scorers.reviewed(t("documents").select("doc_id", "text"), "doc_id", "text", C.counting, "r1")
+    return got.select("doc_id", "score", "density", "faithful", "verdict", "error")
+
+
 @query("udf_03_category", "SELECT doc_id, CASE length(text) % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE source END AS cat FROM documents")
 def _(t):
     # A category that is none of the known ones falls back to the source's.

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import relational as R
+from ..operators import site
 from ..sinks import pages, snapshots, tables
 from ..sources import feeds, revisions, scans, transcripts
 from .queries import query
@@ -224,6 +225,28 @@ def _(t):
     return t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("latest"), F.count_distinct("event_type").alias("kinds"), F.max_by("event_id", "ts").alias("newest"))
 
 
+ESCAPED = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+SITE = f"""WITH i AS (SELECT 'p' || p_partkey AS slug, {ESCAPED.format("p_name || ' <' || p_size || '>'")} AS title, p_brand AS dek, p_partkey % 7 AS source, 'c' || p_size % 6 AS category, p_size AS day, p_partkey AS k FROM part),
+m AS (SELECT s_suppkey AS source, {ESCAPED.format("'A & ' || s_name")} AS name FROM supplier WHERE s_suppkey < 5),
+g AS (SELECT 'source' AS family, 's/' || source AS path, CAST(source AS VARCHAR) AS gk, * FROM i UNION ALL SELECT 'category', 'c/' || category, category, * FROM i),
+l AS (SELECT *, '<li><a href="/e/' || slug || '.html">' || title || '</a></li>' AS li, row_number() OVER (PARTITION BY path ORDER BY day DESC, k) AS rn FROM g),
+p AS (SELECT family, path, coalesce(CASE WHEN family = 'source' THEN max(name) END, gk) AS t, '<p>' || count(*) || ' / ' || max(day) || '</p><ol>' || string_agg(li, '' ORDER BY rn) FILTER (rn <= 24) || '</ol>' AS body FROM l LEFT JOIN m ON m.source = l.source GROUP BY family, path, gk
+UNION ALL SELECT 'episode', 'e/' || slug, title, '<p>' || dek || '</p><p><a href="/s/' || i.source || '.html">' || coalesce(name, CAST(i.source AS VARCHAR)) || '</a></p>' FROM i LEFT JOIN m ON m.source = i.source
+UNION ALL SELECT 'home', 'index', 'Parts', '<ol>' || string_agg('<li><a href="/e/' || slug || '.html">' || title || '</a></li>', '' ORDER BY day DESC, k) || '</ol>' FROM (SELECT * FROM i ORDER BY day DESC, k LIMIT 24)
+UNION ALL SELECT 'alias', 'e/old' || k, slug, '<meta http-equiv="refresh" content="0; url=/e/' || slug || '.html">' FROM i WHERE k % 10 = 0
+UNION ALL SELECT '404', '404', '404', '') SELECT family, path || '.html' AS path, '<!doctype html><title>' || t || '</title><h1>' || t || '</h1>' || body AS html FROM p"""
+
+
+@query("snk_08_site", SITE)
+def _(t):
+    p, slug = t("part"), F.concat(F.lit("p"), "p_partkey")
+    items = p.select(slug.alias("slug"), F.concat("p_name", F.lit(" <"), "p_size", F.lit(">")).alias("title"), F.col("p_brand").alias("dek"), (F.col("p_partkey") % 7).alias("source"), F.concat(F.lit("c"), F.col("p_size") % 6).alias("category"), F.col("p_size").alias("day"), "p_partkey")
+    names = t("supplier").where("s_suppkey < 5").select(F.col("s_suppkey").alias("source"), F.concat(F.lit("A & "), "s_name").alias("name"))
+    # Old names of one in ten, and one that is an item's own by now.
+    aliases = p.where("p_partkey % 10 = 0").select(F.concat(F.lit("old"), "p_partkey").alias("old"), slug.alias("slug")).union(p.where("p_partkey % 10 = 1").select(slug, slug))
+    return site.site(items, names, aliases, [F.col("day").desc(), F.col("p_partkey")], title="Parts")
+
+
 @query("snk_09_page_files", "SELECT o_custkey, o_orderkey, CAST((rn - 1 - 4) // 3 + 1 AS INTEGER) AS page FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn > 4")
 def _(t):
     # A list of its own for each customer: four rows are inlined, the rest go to files of three.

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def anchors(times: Column, every: int = 60) -> Column:
@@ -78,18 +79,16 @@ def blocks(rows: DataFrame, key: str, at: str, width: int) -> DataFrame:
 def chunks(texts: DataFrame, key: str, text: str, size: int, anchor: str = "\n[") -> DataFrame:
     """STF-05: pieces of at most size characters, cut before the last anchor in the second half of the window, else hard; joined they are the text. Null and empty texts have no piece."""
 
-    def cut(batches):
-        for b in batches:
-            out = []
-            for k, s in zip(b[key], b[text], strict=True):
-                at = i = 0
-                while s and at < len(s):
-                    end = at + size
-                    if end < len(s) and (found := s.rfind(anchor, at + size // 2, end)) > at:
-                        end = found
-                    out.append((k, i, s[at:end]))
-                    at, i = end, i + 1
-            yield pd.DataFrame(out, columns=[key, "pos", "piece"])
-
-    kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInPandas(cut, f"{key} {kind}, pos int, piece string")
+    @F.udf(T.ArrayType(T.StringType()), useArrow=False)
+    def cut(s: str | None) -> list[str]:
+        out, at = [], 0
+        while s and at < len(s):
+            end = at + size
+            if end < len(s) and (found := s.rfind(anchor, at + size // 2, end)) > at:
+                end = found
+            out.append(s[at:end])
+            at = end
+        return out
+
+    # Texts come in batches of 100, not the 10,000 of Arrow, which a task would hold at once.
+    return texts.select(key, F.posexplode(cut(text)).alias("pos", "piece"))

@@ -5,7 +5,7 @@ import pytest
 from lectern.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["stf_05_chunks", "str_f01_strip_html", "str_f27_runs"]
+NAMES = ["str_f14_phrases", "stf_05_chunks", "str_f01_strip_html", "str_f27_runs"]
 
 
 @pytest.mark.parametrize("name", NAMES)

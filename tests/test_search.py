@@ -94,3 +94,16 @@ def test_server_searches_the_index(index):
     server = tools.Server(tools.Kept(lambda: items), lambda slug: items, search=made.search)
     answer = server._search("glass", limit=3)
     assert answer["matched"] == tools.found(items, "glass").count() and len(answer["episodes"]) == 3
+
+
+def test_a_batch_is_read_for_its_trigrams_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string", useArrow=False)
+    def hay(text):
+        read.add(1)
+        return text
+
+    items = spark.createDataFrame([(i, f"words of item {i}") for i in range(50)], "slug long, text string")
+    search.SearchIndex(spark, str(tmp_path / "once"), "slug", lambda: hay("text"), buckets=4, parts=4).add(items)
+    assert read.value == 50

@@ -1,91 +1,159 @@
-"""JOIN-12, 13, 25: which texts hold which passages, by an inverted index over each passage's rarest n-gram."""
+"""JOIN-12, 13, 25: which texts hold which passages: texts are read once for all strings looked for, and what they hold is joined by equality."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sinks.tables import kept_aside
 
-#: Words of an n-gram; characters of one where a passage has no whole word in its inside.
-WORDS, CHARS = 3, 8
-#: Rows of an n-gram that one task joins; a more frequent one is dealt to several.
+#: Rows of a string that one task joins; a more frequent one is dealt to several.
 HOT = 20_000
 #: A side of at most so many rows, which are counted first, is broadcast.
 FEW = 100_000
+#: Characters of the longest window that is hashed, and of a text that are hashed at once.
+WINDOW, STRETCH = 64, 1 << 16
+#: Bits of the filter for each string looked for, at least and in all.
+SPARSE, LEAST, BITS = 64, 1 << 20, 1 << 29
 
 
-def _grams(items: Column, sizes: Sequence[int], kind: int, by: Column | None) -> Column:
-    """Hashes of the runs of each size of items (words: kind 1, characters: -1), the group's key among them.
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= FEW else df
 
-    items is bound by a transform over an array of one: an expression named inside a transform would be computed anew for every element.
-    """
 
-    def runs(xs: Column, n: int) -> Column:
-        seed = [F.lit(kind * n)] if by is None else [F.lit(kind * n), by]
-        at = F.when(F.size(xs) >= n, F.sequence(F.lit(0), F.size(xs) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.xxhash64(*seed, *[F.get(xs, i + d) for d in range(n)]))
+def _windows(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hashes of the windows of n characters) for n = 1, 2, 4 ... longest, as far as there are such windows."""
+    h, n, power = codes.astype(np.uint64), 1, 0x9E3779B97F4A7C15
+    while len(h):
+        yield n, h
+        if n == longest:
+            return
+        h = h[:-n] * np.uint64(power) + h[n:]
+        n, power = 2 * n, power * power % 2**64
 
-    return F.flatten(F.transform(F.array(items), lambda xs: F.concat(F.array().cast("array<bigint>"), *[runs(xs, n) for n in sizes])))
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-def _letters(text: Column) -> Column:
-    return F.split(text, "")
 
+def _window(length: int) -> int:
+    """The longest window that begins a string of so many characters; another ends it."""
+    return 1 << (min(length, WINDOW).bit_length() - 1)
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= FEW else df
+
+def _begins(h: np.ndarray, n: int | np.ndarray, group: int) -> np.ndarray:
+    """Hashes of windows of n characters as those that begin a string."""
+    return ((h ^ np.uint64(group)) + np.asarray(n).astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+
+
+def _spans(first: np.ndarray, last: np.ndarray, length: int | np.ndarray, group: int) -> np.ndarray:
+    """Hashes of strings of a length, by their first and last windows."""
+    return _begins(first * np.uint64(0xC4CEB9FE1A85EC53) + last * np.uint64(0xD6E8FEB86659FD93), WINDOW + length, group)
+
+
+def _place(hashes: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """The bits that hashes have in a filter of 2 ** bits, by the first or second probe."""
+    return hashes * np.uint64((1, 0xD6E8FEB86659FD93)[probe]) >> np.uint64(64 - bits)
+
+
+def _filter(wanted: DataFrame, group: Column) -> tuple[np.ndarray, int, list[int]]:
+    """(words, bits, lengths): a filter of 2 ** bits bits, with two for the beginning of each string _g of a group and two for the whole, and the strings' lengths.
+
+    It has a size of its own: SPARSE bits a string, to BITS in all. With more strings than that it lets more pass, which the joins drop.
+    """
+    bits = min(max(SPARSE * wanted.count(), LEAST), BITS).bit_length() - 1
+
+    @F.udf(T.ArrayType(T.LongType()), useArrow=False)
+    def places(run: str, group: int) -> list[int]:
+        n, g = _window(len(run)), group % 2**64
+        *_, (_, h) = _windows(_codes(run), n)
+        return [int(x[0]) for hashes in (_begins(h[:1], n, g), _spans(h[:1], h[-1:], len(run), g)) for x in (_place(hashes, 0, bits), _place(hashes, 1, bits))]
+
+    at = wanted.select(F.explode(places("_g", group)).alias("at"))
+    one = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    got = at.groupBy(F.expr("shiftright(at, 6)").alias("w")).agg(F.bit_or(one).alias("b")).toArrow()
+    words = np.zeros(2**bits // 64, np.uint64)
+    words[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
+    return words, bits, [r.n for r in wanted.select(F.length("_g").alias("n")).distinct().collect()]
+
+
+def _held(texts: DataFrame, wanted: DataFrame, group: Column) -> Column:
+    """The strings _g of wanted that _text holds, each once, and a few others that the filter lets pass."""
+    words, bits, sizes = _filter(wanted, group)
+    lengths = {n: np.array([x for x in sizes if _window(x) == n]) for n in map(_window, sizes)}
+    longest, overlap = max(lengths, default=0), max(sizes, default=1) - 1
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    @F.udf(T.ArrayType(T.StringType()), useArrow=False)
+    def held(text: str, group: int) -> list[str]:
+        words, out, g, codes = shared.value, set(), group % 2**64, _codes(text)
+
+        def passed(hashes: np.ndarray) -> np.ndarray:
+            def holds(place: np.ndarray) -> np.ndarray:
+                return np.flatnonzero(words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+
+            at = holds(_place(hashes, 0, bits))
+            return at[holds(_place(hashes[at], 1, bits))]
+
+        for start in range(0, len(codes) if lengths else 0, STRETCH):
+            part = codes[start : start + STRETCH + overlap]
+            for n, h in _windows(part, longest):
+                if n not in lengths:
+                    continue
+                found = passed(_begins(h[:STRETCH], n, g))
+                step = max(1, STRETCH // len(lengths[n]))  # so many places are tried with all lengths at once
+                for some in (found[i : i + step] for i in range(0, len(found), step)):
+                    at, length = np.repeat(some, len(lengths[n])), np.tile(lengths[n], len(some))
+                    inside = at + length <= len(part)
+                    at, length = at[inside], length[inside]
+                    hits = passed(_spans(h[at], h[at + length - n], length, g))
+                    out.update(text[start + i : start + i + size] for i, size in zip(at[hits].tolist(), length[hits].tolist(), strict=True))
+        return list(out)
+
+    # Texts come in batches of 100, not the 10,000 of Arrow, which a task would hold at once.
+    return held("_text", group)
 
 
 def contained(texts: DataFrame, passages: DataFrame, text_key: str, text: str, passage_key: str, passage: str, *, by: str | None = None, hot: int = HOT) -> DataFrame:
     """(text_key, passage_key) of the texts that hold every run of a passage, an array of strings; of the same by, if given. Exact, whatever the strings.
 
-    A text that holds a run holds the words that are whole inside it, those between its first and last space. So each passage is looked up by one
-    n-gram of such words, the one with fewest texts, and only the texts with that n-gram are searched; a passage with an n-gram that no text has is
-    in none. Runs without a whole word inside are looked up by characters. Texts are read once for the n-grams that passages have, and once for the search.
-    A frequent n-gram's rows are dealt to several tasks, a passage to each of them. Passages without a run, null keys and null texts match nothing.
+    Texts are read once. At each place a text's windows of 1, 2, 4 ... characters are hashed; where those that begin and end a run of some length are in a
+    filter of all runs, the string that lies there is kept. Those strings are few, and joined with the runs by equality. A passage is looked up by the run
+    that fewest texts hold; only if it has more than one are its texts searched for the others. A frequent run's rows are dealt to several tasks, a passage
+    to each of them. Passages without a run, null keys and null texts match nothing.
     """
-    group = None if by is None else F.col("_by")
-    p = passages.select(F.col(passage_key).alias("_p"), F.filter(F.array_distinct(passage), lambda r: F.length(r) > 0).alias("_runs"), *([F.col(by).alias("_by")] if by else []))
+    own, keys = (["_by"], ["_g", "_by"]) if by else ([], ["_g"])
+    named = [F.col(by).alias("_by")] if by else []
+    group = F.xxhash64("_by") if by else F.lit(0).cast("long")
+    p = passages.select(F.col(passage_key).alias("_p"), F.filter(F.array_distinct(passage), lambda r: F.length(r) > 0).alias("_runs"), *named)
     p = kept_aside(p.where((F.size("_runs") > 0) & F.col("_p").isNotNull()))
-    t = texts.select(F.col(text_key).alias("_t"), F.col(text).alias("_text"), *([F.col(by).alias("_by")] if by else [])).where(F.col("_text").isNotNull() & F.col("_t").isNotNull())
-
-    none = F.array().cast("array<bigint>")
-    inside = F.transform("_runs", lambda r: F.slice(F.split(r, " "), F.lit(2), F.greatest(F.size(F.split(r, " ")) - 2, F.lit(0))))
-    has_words = F.exists(inside, lambda w: F.size(w) > 0)
-    sizes = [r.n for r in p.select(F.explode(F.transform(inside, lambda w: F.least(F.size(w), F.lit(WORDS)))).alias("n")).where("n > 0").distinct().collect()]  # at most WORDS rows
-
-    def worded(n: int) -> Column:
-        fits = lambda w: (F.size(w) == n) | ((F.lit(n) == WORDS) & (F.size(w) > n))
-        return F.flatten(F.transform(inside, lambda w: F.when(fits(w), _grams(w, [n], 1, group)).otherwise(none)))
-
-    # Without words inside: the first characters of the longest run; runs of fewer characters are looked up whole.
-    longest = F.element_at(F.array_sort(F.transform("_runs", lambda r: F.struct(-F.length(r), r.alias("r")))), 1)["r"]
-    lengths = [r.n for r in p.where(~has_words).select(F.least(F.length(longest), F.lit(CHARS)).alias("n")).distinct().collect()]  # at most CHARS rows
-    lettered = [F.when(F.least(F.length(longest), F.lit(CHARS)) == n, _grams(_letters(longest), [n], -1, group)).otherwise(none) for n in lengths]
-    keys = F.when(has_words, F.concat(none, *[worded(n) for n in sizes])).otherwise(F.concat(none, *lettered))
-    asked = kept_aside(p.select("_p", F.explode(F.array_distinct(keys)).alias("_g")))
-
-    all_ = F.concat(_grams(F.split("_text", " "), sizes, 1, group), _grams(_letters(F.col("_text")), lengths, -1, group) if lengths else none)
-    wanted = asked.select("_g").distinct()
-    held = kept_aside(t.select("_t", F.explode(F.array_distinct(all_)).alias("_g")).join(_few(wanted), "_g", "left_semi"))
-
-    counts = held.groupBy("_g").agg(F.count("*").alias("_n"))
-    rated = asked.join(counts, "_g", "left").groupBy("_p").agg(F.min_by(F.struct("_g", "_n"), F.struct("_n", "_g")).alias("c"), F.count("*").alias("a"), F.count("_n").alias("b"))
-    chosen = kept_aside(rated.where("a = b").select("_p", "c.*").withColumn("_parts", F.ceil(F.col("_n") / hot).cast("int")))
-    dealt = chosen.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select("_p", "_g", "_part")
-    parts = chosen.groupBy("_g").agg(F.max("_parts").alias("_parts"))
-    rows = held.join(_few(parts), "_g").select("_t", "_g", F.pmod(F.xxhash64("_t"), F.col("_parts")).cast("int").alias("_part"))
-    tried = rows.join(dealt, ["_g", "_part"]).select("_t", "_p")
-
-    runs = p.select("_p", "_runs", *(["_by"] if by else []))
-    searched = tried.join(_few(runs), "_p").join(t.withColumnRenamed("_by", "_own") if by else t, "_t")
-    hit = F.forall("_runs", lambda r: F.contains(F.col("_text"), r))
-    if by:
-        hit = hit & (F.col("_own") == F.col("_by"))
-    return searched.where(hit).select(F.col("_t").alias(text_key), F.col("_p").alias(passage_key)).distinct()
+    t = texts.select(F.col(text_key).alias("_t"), F.col(text).alias("_text"), *named).where(F.col("_text").isNotNull() & F.col("_t").isNotNull())
+
+    asked = p.select("_p", *own, F.explode("_runs").alias("_g"))
+    wanted = kept_aside(asked.select(*keys).distinct())
+    held = kept_aside(t.select("_t", *own, F.explode(_held(t, wanted, group)).alias("_g")))
+
+    counts = held.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rated = asked.join(counts, keys, "left").groupBy("_p", *own).agg(F.min_by(F.struct("_g", "_n"), F.struct("_n", "_g")).alias("c"), F.count("*").alias("_a"), F.count("_n").alias("b"))
+    chosen = kept_aside(rated.where("_a = b").select("_p", *own, "_a", "c.*").withColumn("_parts", F.ceil(F.col("_n") / hot).cast("int")))
+    dealt = chosen.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select("_p", "_a", *keys, "_part")
+    parts = chosen.groupBy(*keys).agg(F.max("_parts").alias("_parts"))
+    rows = held.join(_few(parts), keys).select("_t", *keys, F.pmod(F.xxhash64("_t"), F.col("_parts")).cast("int").alias("_part"))
+    tried = rows.join(dealt, [*keys, "_part"])
+
+    found = tried.where("_a = 1").select("_t", "_p")
+    if not chosen.where("_a > 1").isEmpty():
+        runs = p.where(F.size("_runs") > 1).select("_p", "_runs", *own)
+        searched = tried.where("_a > 1").select("_t", "_p").join(_few(runs), "_p").join(t.withColumnRenamed("_by", "_own") if by else t, "_t")
+        hit = F.forall("_runs", lambda r: F.contains(F.col("_text"), r))
+        if by:
+            hit = hit & (F.col("_own") == F.col("_by"))
+        found = found.union(searched.where(hit).select("_t", "_p"))
+    return found.select(F.col("_t").alias(text_key), F.col("_p").alias(passage_key)).distinct()
 
 
 def runs_of(quote: Column, normal, *, least: int = 12, elision: str = r"…+|\.{3,}|\[\.{3}\]") -> Column:

@@ -43,6 +43,30 @@ def test_no_nested_loop_and_few_candidates(spark):
     assert sorted(map(tuple, out.collect())) == [(i, i) for i in range(400)]
 
 
+def test_texts_are_read_once_and_not_shuffled(spark, monkeypatch):
+    """As at sizes where what is looked for is too much to be broadcast: no row for each n-gram of each text."""
+    monkeypatch.setattr(C, "FEW", 0)
+    plans, keep = [], C.kept_aside
+    monkeypatch.setattr(C, "kept_aside", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    texts = spark.range(50).select("id", F.concat(F.lit("some opening words of "), F.col("id").cast("string"), F.lit("同一个词")).alias("text"))
+    passages = spark.createDataFrame([(1, ["opening words of 7同一"]), (2, ["同一个词"]), (3, ["个词同一"])], "p long, runs array<string>")
+    assert sorted(map(tuple, C.contained(texts, passages, "id", "text", "p", "runs").collect())) == sorted([(7, 1), *((i, 2) for i in range(50))])
+    held = [p for p in plans if "opening" in p]
+    assert len(held) == 1 and "Exchange" not in held[0] and "Join" not in held[0]
+
+
+def test_runs_of_any_length_and_place(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("ab 大é") for _ in range(3 * C.STRETCH // 2))
+    cuts = [(C.STRETCH - 10, 24), (C.STRETCH - 1, 2), (C.STRETCH - 300, 700), (C.STRETCH, 64), (len(long) - 33, 33), (0, C.STRETCH + 5), (C.STRETCH - 63, 63), (C.STRETCH - 64, 65)]
+    runs = [long[i : i + n] for i, n in cuts] + [long[7 : 7 + n] for n in range(1, 140)]
+    wrong = [r[:-1] + "z" for r in runs] + ["z" + r[1:] for r in runs] + [r[: len(r) // 2] + "z" + r[len(r) // 2 + 1 :] for r in runs]
+    t = spark.createDataFrame([(1, long), (2, long[: C.STRETCH]), (3, "")], "t long, text string")
+    p = spark.createDataFrame([(i, [r]) for i, r in enumerate(runs + wrong)], "p long, runs array<string>")
+    expected = sorted((k, i) for k, text in ((1, long), (2, long[: C.STRETCH])) for i, r in enumerate(runs + wrong) if r in text)
+    assert sorted(map(tuple, C.contained(t, p, "t", "text", "p", "runs").collect())) == expected
+
+
 def test_empty_sides(spark):
     t = spark.createDataFrame([(1, "some text that is there")], "t long, text string")
     p = spark.createDataFrame([(1, ["text that"])], "p long, runs array<string>")

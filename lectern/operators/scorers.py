@@ -12,6 +12,7 @@ import re
 import threading
 from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,11 +30,9 @@ DIMENSIONS = ("density", "faithful", "selection", "concrete", "chinese")  # fixe
 
 def json_object(reply: str) -> dict | None:
     """The JSON object that a reply is, has in a fence or has between its outermost braces."""
-    fenced = re.search(r"```(?:json)?\s*(.*?)```", reply, re.S)
-    braced = re.search(r"\{.*\}", reply, re.S)
-    for x in (reply, fenced and fenced[1], braced and braced[0]):
+    for pattern in (r"(.*)", r"```(?:json)?\s*(.*?)```", r"(\{.*\})"):
         try:
-            if x and isinstance(found := json.loads(x), dict):
+            if (x := re.search(pattern, reply, re.S)) and isinstance(found := json.loads(x[1]), dict):
                 return found
         except ValueError:
             continue
@@ -105,6 +104,28 @@ def asked(rows: DataFrame, key: str, prompt: str, backend: Backend, *, size: int
     return Asked(rows.select(F.col(key).alias("key"), F.col(prompt).cast("string").alias("prompt")).asTable()).withColumnRenamed("key", key)
 
 
+def answered(rows: DataFrame, prompt: str, backend: Backend, *, size: int = SIZE, retries: int = RETRIES, seconds: float = SECONDS) -> DataFrame:
+    """UDF-01: rows with what `asked` says of each beside them, for short prompts: they come as Arrow batches, of which only the prompts become Python's.
+
+    So what a reply is checked against needs no join afterwards.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType()), T.StructField("asked", T.IntegerType()), T.StructField("error", T.StringType())])
+
+    @F.arrow_udtf(returnType=schema)
+    class Answered:
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            prompts = batch.column(prompt).to_pylist()
+            out: list[tuple[str | None, int, str | None]] = [(None, 0, "no prompt")] * len(prompts)
+            some = [i for i, p in enumerate(prompts) if p is not None]
+            for held in (some[j : j + size] for j in range(0, len(some), size)):
+                for i, (found, n, error) in zip(held, replies(backend, [prompts[i] for i in held], retries, seconds), strict=True):
+                    out[i] = (None if found is None else json.dumps(found, ensure_ascii=False), n, error)
+            new = [pa.array([x[j] for x in out], kind) for j, kind in enumerate((pa.string(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+
+    return Answered(rows.asTable())
+
+
 def said(field: str) -> Column:
     """A field of a reply as text; null if it has none."""
     return F.get_json_object("reply", f"$.{field}")
@@ -156,14 +177,18 @@ def ungarbled(quotes: DataFrame, item: str, pos: str, quote: str, backend: Backe
     """UDF-05: (item, pos, quote, garbled) of all quotes: the string in a quote that its reply reports; null for a quote that stays.
 
     An item's quotes, a digest's few, are one prompt of numbered lines; items with a single one aren't asked. A report counts only if its string occurs in the quote.
+    They stay together from the prompt to the check of its reply: one shuffle by item, and none if the quotes are so dealt.
     """
-    words = squeeze(F.coalesce(quote, F.lit("")))
-    lines = F.transform(F.filter(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), words.alias("w")))), lambda r: r["w"] != ""), lambda r: F.concat(r["p"].cast("string"), F.lit(". "), r["w"]))
-    sheets = quotes.groupBy(item).agg(F.array_join(lines, "\n").alias("_p"), F.count("*").alias("_n")).where("_n > 1 and _p != ''")
+    held = quotes.select(item, F.struct(F.col(pos).alias("pos"), squeeze(F.coalesce(quote, F.lit(""))).alias("w"), F.col(quote).alias("quote")).alias("q"))
+    lines = F.transform(F.filter(F.array_sort("_q"), lambda q: q["w"] != ""), lambda q: F.concat(q["pos"].cast("string"), F.lit(". "), q["w"]))
+    text = F.array_join(lines, "\n")
+    sheets = held.groupBy(item).agg(F.collect_list("q").alias("_q")).withColumn("_p", F.when((F.size("_q") > 1) & F.col(item).isNotNull(), F.nullif(text, F.lit(""))))
     bad = F.from_json(said("bad"), "array<struct<i:string,s:string>>")
-    reported = asked(sheets, item, "_p", backend, **how).select(item, F.explode(bad).alias("b")).select(item, F.col("b.i").try_cast(quotes.schema[pos].dataType).alias(pos), squeeze(F.col("b.s")).alias("_s"))
-    true = quotes.join(reported, [item, pos]).where((F.col("_s") != "") & F.contains(quote, F.col("_s"))).groupBy(item, pos).agg(F.min("_s").alias("garbled"))
-    return quotes.select(item, pos, quote).join(true, [item, pos], "left")
+    reported = F.transform(bad, lambda b: F.struct(b["i"].try_cast(quotes.schema[pos].dataType).alias("i"), squeeze(b["s"]).alias("s")))
+    true = F.filter("_b", lambda b: (b["s"] != "") & F.exists("_q", lambda q: (q["pos"] == b["i"]) & F.contains(q["quote"], b["s"])))
+    checked = answered(sheets, "_p", backend, **how).withColumn("_b", reported).select(item, F.explode("_q").alias("q"), true.alias("_b"))
+    own = F.array_min(F.transform(F.filter("_b", lambda b: b["i"] == F.col("q.pos")), lambda b: b["s"]))
+    return checked.select(item, F.col("q.pos").alias(pos), F.col("q.quote").alias(quote), own.alias("garbled"))
 
 
 def reviewed(rows: DataFrame, key: str, prompt: str, backend: Backend, rubric: str, **how) -> DataFrame:

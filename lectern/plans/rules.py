@@ -169,7 +169,9 @@ def _(t):
 
 @query("udf_05_asked", "WITH q AS (SELECT DISTINCT l_orderkey, l_partkey, 'part ' || l_partkey AS quote FROM lineitem), n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM q) SELECT l_orderkey, l_partkey, quote, CASE WHEN n > 1 AND contains(quote, '77') THEN '77' END AS garbled FROM n")
 def _(t):
-    quotes = t("lineitem").select("l_orderkey", "l_partkey", F.concat(F.lit("part "), "l_partkey").alias("quote")).distinct()
+    # Dealt by order once, for the distinct rows and for the prompts.
+    parts = t("lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()
+    quotes = parts.withColumn("quote", F.concat(F.lit("part "), "l_partkey"))
     return scorers.ungarbled(quotes, "l_orderkey", "l_partkey", "quote", C.suspecting)
 
 

@@ -4,8 +4,10 @@ import json
 import time
 
 import pytest
+from pyspark.sql import Row
 
 from lectern.operators import scorers as S
+from lectern.plans.queries import QUERIES
 
 
 def rows(spark, values, schema):
@@ -101,6 +103,22 @@ def test_garbled_quotes(spark):
     assert got == {("a", 0): None, ("a", 1): "blx", ("a", 2): None, ("b", 0): None, ("c", 0): None, ("c", 1): None}
 
 
+def test_quotes_stay_beside_their_prompt(spark):
+    """They are dealt once and never joined with what is said of them."""
+    out = QUERIES["udf_05_asked"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+    def backend(prompts, n):
+        return ['{"bad": [{"i": 1, "s": "b"}, {"i": 1, "s": " a "}, {"i": "2", "s": null}, {"i": 3}, {"i": null, "s": "x"}]}' if p.startswith("1. ") else '{"bad": "x"}' for p in prompts]
+
+    q = [("a", 1, "x  b"), ("a", 1, "a"), ("a", 2, None), ("a", None, "x"), (None, 1, "a"), (None, 2, "b"), ("c", 2, "b"), ("c", 3, "a")]
+    got = sorted(S.ungarbled(rows(spark, q, "d string, i int, t string"), "d", "i", "t", backend).collect(), key=str)
+    assert [tuple(r) for r in got] == sorted([(*x, "a" if x[:2] == ("a", 1) else None) for x in q], key=lambda x: str(Row(d=x[0], i=x[1], t=x[2], garbled=x[3])))
+    empty = S.answered(rows(spark, [(1, None)], "k int, p string"), "p", backend).collect()
+    assert [tuple(r) for r in empty] == [(1, None, None, 0, "no prompt")]
+
+
 def test_reviews_glyphs_and_rewriting(spark):
     review = lambda prompts, n: ['{"score": 6.5, "dims": {"density": 7, "chinese": "8"}, "verdict": "publishable", "worst": "w"}' for _ in prompts]
     r = S.reviewed(rows(spark, [(1, "draft")], "k int, p string"), "k", "p", review, "r").first()

@@ -2,9 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.plans import served  # noqa: F401
+from lectern.plans.queries import ORACLES, QUERIES
 from lectern.serving import search, tools
 from lectern.sinks import tables
 
@@ -107,3 +110,14 @@ def test_a_batch_is_read_for_its_trigrams_once(spark, tmp_path):
     items = spark.createDataFrame([(i, f"words of item {i}") for i in range(50)], "slug long, text string")
     search.SearchIndex(spark, str(tmp_path / "once"), "slug", lambda: hay("text"), buckets=4, parts=4).add(items)
     assert read.value == 50
+
+
+def test_kept_search_reads_whole_texts(spark, tmp_path):
+    long = "words of a long text " * 500
+    rows = [(0, long + "thation", "src1", "en"), (1, long + "thation and erthe", "src1", "en"), (2, long + "Erthe thation", "src12", "en"), (3, long + "thation erthe", "src1", "de"), (4, None, "src1", "en"), (5, long + "thation erthe", "src2", "en")]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").coalesce(1).write.parquet(path)
+    found = sorted(r.doc_id for r in QUERIES["flt_27_kept_search"](spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    assert found == [1, 2] == sorted(r[0] for r in db.execute(ORACLES["flt_27_kept_search"]).fetchall())
